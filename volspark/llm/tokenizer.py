@@ -138,33 +138,48 @@ def word_ids(word: Column, path: str = VOCABULARY) -> Column:
     )
 
 
-def encode_words(df: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """All columns and `_words`: array<struct<pos int, ids array<int>>>, the words of the text in order; empty for an empty or null text.
+def _encoded(df: DataFrame, text: str, path: str) -> DataFrame:
+    """(r, w): each row as a struct and its words as array<struct<pos int, ids array<int>>>; so no name of a column can clash.
 
     Rows are told apart by two hashes of all their columns, so equal rows are legal and come out as often as they came in.
     """
     look = looker(path)
-    keys = [f"`{c}`" for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
-    split = F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
-    rows = df.withColumns({"_k1": F.xxhash64(F.lit(1), *[x for k in keys for x in (F.col(k).isNull(), F.col(k))]), "_k2": F.xxhash64(F.lit(2), *[x for k in keys for x in (F.col(k).isNull(), F.col(k))])})
-    rows = rows.withColumn("_slots", F.transform(split, lambda w, i: _let(latin(w), lambda b: F.struct(i.alias("pos"), look(b).alias("id"), b.alias("b")))))
-    one = F.transform(F.filter("_slots", lambda s: s["id"].isNotNull()), lambda s: F.struct(s["pos"].alias("pos"), F.array(s["id"]).alias("ids")))
-    many = F.transform(F.filter("_slots", lambda s: s["id"].isNull()), lambda s: F.struct(s["pos"].alias("pos"), s["b"].alias("b")))
-    rows = written(rows.select(*df.columns, "_k1", "_k2", one.alias("_one"), many.alias("_many")), "words")
-    places = rows.select("_k1", "_k2", F.explode("_many").alias("m")).select("_k1", "_k2", "m.pos", "m.b")
+    keys = [f"`{c}`" for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    flags = [x for k in keys for x in (F.col(k).isNull(), F.col(k))]
+    split = F.coalesce(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
+    slots = F.transform(split, lambda w, i: _let(latin(w), lambda b: F.struct(i.alias("pos"), look(b).alias("id"), b.alias("b"))))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"), F.xxhash64(F.lit(1), *flags).alias("k1"), F.xxhash64(F.lit(2), *flags).alias("k2"), slots.alias("slots"))
+    one = F.transform(F.filter("slots", lambda s: s["id"].isNotNull()), lambda s: F.struct(s["pos"].alias("pos"), F.array(s["id"]).alias("ids")))
+    many = F.transform(F.filter("slots", lambda s: s["id"].isNull()), lambda s: F.struct(s["pos"].alias("pos"), s["b"].alias("b")))
+    rows = written(rows.select("r", "k1", "k2", one.alias("one"), many.alias("many")), "words")
+    places = rows.select("k1", "k2", F.explode("many").alias("m")).select("k1", "k2", "m.pos", "m.b")
     # a number of partitions that is stated isn't reduced by size: the words are few bytes but much work
     distinct = places.select("b").distinct().repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("b"))
     ids = distinct.select("b", word_ids(F.col("b"), path).alias("ids"))
-    found = places.join(ids, "b").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("pos", "ids")).alias("_found"))
-    whole = rows.where(F.size("_many") == 0).select(*df.columns, F.col("_one").alias("_words"))
-    parts = rows.where(F.size("_many") > 0).join(found, ["_k1", "_k2"]).select(*df.columns, F.array_sort(F.concat("_one", "_found")).alias("_words"))
+    found = places.join(ids, "b").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "ids")).alias("found"))
+    whole = rows.where(F.size("many") == 0).select("r", F.col("one").alias("w"))
+    parts = rows.where(F.size("many") > 0).join(found, ["k1", "k2"]).select("r", F.array_sort(F.concat("one", "found")).alias("w"))
     return whole.unionByName(parts)
 
 
+def _others(df: DataFrame, new: str) -> list[Column]:
+    return [F.col(f"r.`{c}`") for c in df.columns if c.lower() != new.lower()]
+
+
+def encode_words(df: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """All columns and `_words`: array<struct<pos int, ids array<int>>>, the words of the text in order; empty for an empty or null text.
+
+    A column that is called `_words` is replaced.
+    """
+    return _encoded(df, text, path).select(*_others(df, "_words"), F.col("w").alias("_words"))
+
+
 def encode(df: DataFrame, text: str = "text", into: str = "ids", path: str = VOCABULARY) -> DataFrame:
-    """All columns and the ids of the text, without special tokens, whose strings are ordinary text; empty for an empty or null text."""
-    words = encode_words(df, text, path)
-    return words.withColumn(into, F.flatten(F.transform("_words", lambda w: w["ids"]))).drop("_words")
+    """All columns and the ids of the text, without special tokens, whose strings are ordinary text; empty for an empty or null text.
+
+    A column that is called as `into` is replaced; repeated rows stay as many as they are; an empty table gives an empty table.
+    """
+    return _encoded(df, text, path).select(*_others(df, into), F.flatten(F.transform("w", lambda w: w["ids"])).alias(into))
 
 
 def decode(ids: Column, path: str = VOCABULARY) -> Column:
