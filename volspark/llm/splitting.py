@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from ..operators.ordering import running_total
 from ..session import written
-from .tokenizer import PATTERN, VOCABULARY, encode_words, piece_literal
+from .tokenizer import PATTERN, VOCABULARY, encode_words, joined_pieces, piece_bytes
 
 LIMIT, OVERLAP = 1200, 64
 #: A word of more tokens than this may be cut inside, where characters end.
@@ -37,8 +37,8 @@ def _kind(words: Column, i: Column) -> Column:
     return F.when(after.isNull(), END).when(paragraph, PARAGRAPH).when(sentence, SENTENCE).when(starts | blank(w), WORD).otherwise(CHARACTER)
 
 
-def _units(words: Column, ids: Column, pieces: Column) -> Column:
-    """(n, bytes, kind) of each word, or of each token of a long word."""
+def _units(words: Column, ids: Column, sizes: Column) -> Column:
+    """(n, bytes, kind) of each word, or of each token of a long word; sizes: `piece_bytes`."""
 
     def of(x: Column, i: Column) -> Column:
         kind, w = _kind(words, i), F.get(words, i)
@@ -46,9 +46,9 @@ def _units(words: Column, ids: Column, pieces: Column) -> Column:
             x["ids"],
             lambda t, j: F.struct(
                 F.lit(1).alias("n"),
-                F.length(F.get(pieces, t)).alias("bytes"),
+                F.abs(F.get(sizes, t)).alias("bytes"),
                 F.when(j == F.size(x["ids"]) - 1, kind)
-                .when(F.get(pieces, F.get(x["ids"], j + 1)).rlike("^[\u0080-¿]"), INSIDE)
+                .when(F.get(sizes, F.get(x["ids"], j + 1)) < 0, INSIDE)
                 .otherwise(CHARACTER)
                 .alias("kind"),
             ),
@@ -99,8 +99,10 @@ def split(documents: DataFrame, doc: str = "doc_id", text: str = "text", limit:
     texts = texts.withColumn("_key", F.sha2(F.concat_ws("\x00", F.lit("k"), F.col(doc).cast("string"), F.col(doc).isNull().cast("string"), text), 256)).dropDuplicates(["_key"])
     encoded = encode_words(texts, text, path).where(F.aggregate("_words", F.lit(0), lambda n, w: n + F.size(w["ids"])) > limit)
     encoded = written(encoded, "long")
-    pieces_, words = piece_literal(path), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    units = encoded.withColumn("_w", words).select("_key", F.posexplode(_units(F.col("_w"), F.col("_words"), pieces_)).alias("u", "x")).select("_key", "u", "x.*")
+    words = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    cut = encoded.select("_key", "_words", words.alias("_w"), piece_bytes(path).alias("_sizes"))
+    units = cut.select("_key", F.posexplode(_units(F.col("_w"), F.col("_words"), F.col("_sizes"))).alias("u", "x")).select("_key", "u", "x.*")
+    units = written(units, "units")
     placed = running_total(units, ["_key"], "u", F.floor(F.col("u") / 4096), {"t": F.col("n"), "b": F.col("bytes")})
     start = encoded.select("_key", F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("byte"), F.lit(CHARACTER).alias("kind"))
     nodes = placed.select("_key", (F.col("t") + F.col("n")).alias("at"), (F.col("b") + F.col("bytes")).alias("byte"), "kind").unionByName(start)
@@ -119,6 +121,5 @@ def split(documents: DataFrame, doc: str = "doc_id", text: str = "text", limit:
     fresh = F.substring(raw, (F.col("byte") + 1).cast("int"), (F.col("_to") - F.col("byte")).cast("int")).cast("string")
     ids = F.slice("_ids", (F.col("first_token") + 1).cast("int"), (F.col("next") - F.col("first_token")).cast("int"))
     shared_ids = F.slice("_ids", (F.col("first_token") + 1).cast("int"), (F.col("at") - F.col("first_token")).cast("int"))
-    shared = F.array_join(F.transform(shared_ids, lambda i: F.get(pieces_, i)), "")
-    shared = F.encode(F.regexp_replace(shared, "^[\u0080-¿]+", ""), "ISO-8859-1").cast("string")
+    shared = F.encode(F.regexp_replace(joined_pieces(shared_ids, path), "^[\u0080-¿]+", ""), "ISO-8859-1").cast("string")
     return rows.select(doc, "piece_no", "first_token", F.col("next").alias("end_token"), ids.alias("ids"), fresh.alias("fresh"), F.concat(shared, fresh).alias("piece"))

@@ -72,12 +72,17 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def looker(path: str = VOCABULARY) -> Callable[[Column], Column]:
-    table = rank_literal(path)
+def looker(table: Column) -> Callable[[Column], Column]:
+    """The look-up of a piece's rank in the table that a lambda variable stands for."""
     # the hash is taken as unsigned: its low bits are those of the signed number
     return lambda piece: F.try_element_at(F.get(table, F.xxhash64(piece).bitwiseAND(BUCKETS - 1).cast("int")), piece)
 
 
+def with_ranks(then: Callable[[Callable[[Column], Column]], Column], path: str = VOCABULARY) -> Column:
+    """An expression that looks up ranks; the literal stands in the plan once, however often it is used."""
+    return _let(rank_literal(path), lambda table: then(looker(table)))
+
+
 def latin(text: Column) -> Column:
     """A text's UTF-8 bytes, one code point each."""
     return F.decode(F.encode(text, "UTF-8"), LATIN)
@@ -128,14 +133,20 @@ def merged(word: Column, look: Callable[[Column], Column]) -> Column:
 
 def word_ids(word: Column, path: str = VOCABULARY) -> Column:
     """The ids of a word; a segment that occurs again and again is merged once."""
-    look = looker(path)
-    own = lambda different: F.transform(different, lambda s: F.transform(merged(s, look), look))
-    return _let(
-        segments(word, path),
-        lambda parts: _let(
-            F.array_distinct(parts), lambda different: _let(own(different), lambda ids: F.flatten(F.transform(parts, lambda s: F.get(ids, F.array_position(different, s).cast("int") - 1))))
-        ),
-    )
+
+    def own(look: Callable[[Column], Column]) -> Column:
+        return _let(
+            segments(word, path),
+            lambda parts: _let(
+                F.array_distinct(parts),
+                lambda different: _let(
+                    F.transform(different, lambda s: F.transform(merged(s, look), look)),
+                    lambda ids: F.flatten(F.transform(parts, lambda s: F.get(ids, F.array_position(different, s).cast("int") - 1))),
+                ),
+            ),
+        )
+
+    return with_ranks(own, path)
 
 
 def _encoded(df: DataFrame, text: str, path: str) -> DataFrame:
@@ -143,11 +154,10 @@ def _encoded(df: DataFrame, text: str, path: str) -> DataFrame:
 
     Rows are told apart by two hashes of all their columns, so equal rows are legal and come out as often as they came in.
     """
-    look = looker(path)
     keys = [f"`{c}`" for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
     flags = [x for k in keys for x in (F.col(k).isNull(), F.col(k))]
     split = F.coalesce(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
-    slots = F.transform(split, lambda w, i: _let(latin(w), lambda b: F.struct(i.alias("pos"), look(b).alias("id"), b.alias("b"))))
+    slots = with_ranks(lambda look: F.transform(split, lambda w, i: _let(latin(w), lambda b: F.struct(i.alias("pos"), look(b).alias("id"), b.alias("b")))), path)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"), F.xxhash64(F.lit(1), *flags).alias("k1"), F.xxhash64(F.lit(2), *flags).alias("k2"), slots.alias("slots"))
     one = F.transform(F.filter("slots", lambda s: s["id"].isNotNull()), lambda s: F.struct(s["pos"].alias("pos"), F.array(s["id"]).alias("ids")))
     many = F.transform(F.filter("slots", lambda s: s["id"].isNull()), lambda s: F.struct(s["pos"].alias("pos"), s["b"].alias("b")))
@@ -182,8 +192,18 @@ def encode(df: DataFrame, text: str = "text", into: str = "ids", path: str = VOC
     return _encoded(df, text, path).select(*_others(df, into), F.flatten(F.transform("w", lambda w: w["ids"])).alias(into))
 
 
+def joined_pieces(ids: Column, path: str = VOCABULARY) -> Column:
+    """The bytes of ids one after another, as code points 0 to 255."""
+    return _let(piece_literal(path), lambda pieces: F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+
+
 def decode(ids: Column, path: str = VOCABULARY) -> Column:
     """The text of ids: their pieces' bytes one after another, read as UTF-8; null for null or for an unknown id."""
-    pieces = piece_literal(path)
     known = F.forall(ids, lambda i: (i >= 0) & (i < F.lit(len(ranks(path)))))
-    return F.when(known, F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), LATIN).cast("string"))
+    return F.when(known, F.encode(joined_pieces(ids, path), LATIN).cast("string"))
+
+
+def piece_bytes(path: str = VOCABULARY) -> Column:
+    """Literal array: the number of bytes of each id, below 0 if the first of them continues a character."""
+    by_id = sorted(ranks(path), key=ranks(path).__getitem__)
+    return F.split(F.lit(",".join(str(-len(p) if 0x80 <= ord(p[0]) < 0xC0 else len(p)) for p in by_id)), ",").cast("array<int>")
