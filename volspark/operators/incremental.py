@@ -194,7 +194,7 @@ def sync_deltas(objects: DataFrame, runs: DataFrame, group_rows: int = GROUP_ROW
     Rows with a null tree, key, size, mtime_ns or seen_at are passed over; a null listed_at counts as the earliest.
     """
     needed = ["tree", "key", "size", "mtime_ns", "seen_at"]
-    rows = objects.where(" and ".join(f"{c} is not null" for c in needed))
+    rows = objects.where(" and ".join(f"{c} is not null" for c in needed)).select("row_id", *needed, "listed_at")
     hot = F.broadcast(hot_groups(rows.select("tree"), "tree", group_rows))
     pieces = F.coalesce("_pieces", F.lit(1))
     state = F.struct("listed_at", "row_id", "size", "mtime_ns")

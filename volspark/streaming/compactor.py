@@ -46,7 +46,8 @@ class StreamingCompactor:
     def read(self, schema: T.StructType) -> DataFrame:
         if not Files(self.spark, self.out).exists(self.out):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.out).select(*schema.names)
+        # the batches' directories are no column, whatever columns the rows have
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self.out)
 
 
 def compact_files(spark: SparkSession, source: str, out: str, checkpoint: str, schema: T.StructType, rows_per_file: int, files_per_batch: int = 1000, source_format: str = "parquet", fail_at: int | None = None) -> StreamingCompactor:
