@@ -62,7 +62,7 @@ def test_every_change(spark):
 
 
 def test_leaves_of_odd_bodies():
-    assert sd.leaves('{"a": {"b": {}}, "c": [1, {"d": 2.0}], "e": 1e400, "a": {"x": null}}') == {"a.x": ("null", None), "c": ("array", '[1,{"d":2.0}]') if False else ("array", '["1",{"d":"2.0"}]'), "e": ("number", "1E+400")}
+    assert sd.leaves('{"a": {"b": {}}, "c": [1, {"d": 2.0}], "e": 1e400, "a": {"x": null}}') == {"a.x": ("null", None), "c": ("array", '[1,{"d":2}]'), "e": ("number", "1E+400")}
     assert sd.leaves("{}") == {} and sd.leaves('{"a": NaN}') is None and sd.leaves("[" * 100_000) is None and sd.leaves(None) is None
     assert sd.leaves('{"a": 1.0, "b": 1, "c": "1"}') == {"a": ("number", "1"), "b": ("number", "1"), "c": ("string", "1")}
     assert sd.leaves('{"a": "\\ud800"}') == {"a": ("string", "?")}

@@ -113,7 +113,8 @@ class IncrementalRefresh:
         removed = sorted(p for p in before if p not in now)
         out = f"{self.root}/out"
         if changed:
-            cut = [s.df.where(s.keep(changed) if s.keep else s.part.isin(changed)) for s in sources]
+            every = len(changed) == len(now)  # then no row needs to be tested
+            cut = [s.df if every else s.df.where(s.keep(changed) if s.keep else s.part.isin(changed)) for s in sources]
             token = f"{time.time_ns():x}"
             rows = compute(cut).select(*[F.col(f.name).cast(f.dataType) for f in self.schema], F.col(self.part).cast("int"))
             (

@@ -26,6 +26,17 @@ def _reject(word: str) -> None:
     raise ValueError(word)
 
 
+def _canonical(x: object) -> str:
+    """JSON with sorted keys and numbers in one form, so that equal values have equal texts and 1 is not "1"."""
+    if isinstance(x, Decimal):
+        return _leaf(x)[1] or ""
+    if isinstance(x, list):
+        return "[" + ",".join(map(_canonical, x)) + "]"
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_canonical(v)}" for k, v in sorted(x.items())) + "}"
+    return json.dumps(x, ensure_ascii=False)
+
+
 def _leaf(x: object) -> tuple[str, str | None]:
     """Type and value of a leaf; numbers that are equal have the same text."""
     if x is None:
@@ -37,7 +48,7 @@ def _leaf(x: object) -> tuple[str, str | None]:
         return "number", format(plain, "f") if -30 < plain.adjusted() < 40 else str(plain)
     if isinstance(x, str):
         return "string", x
-    return ("array" if isinstance(x, list) else "object"), json.dumps(x, ensure_ascii=False, separators=(",", ":"), sort_keys=True, default=str)
+    return ("array" if isinstance(x, list) else "object"), _canonical(x)
 
 
 def leaves(body: str | None) -> dict[str, tuple[str, str | None]] | None:
@@ -51,6 +62,13 @@ def leaves(body: str | None) -> dict[str, tuple[str, str | None]] | None:
         return None
     if not isinstance(top, dict):
         return None
+    try:
+        return _walk(top)
+    except RecursionError:
+        return None
+
+
+def _walk(top: dict) -> dict[str, tuple[str, str | None]]:
     found: dict[str, tuple[str, str | None]] = {}
     todo = [("", top)]
     while todo:
