@@ -77,8 +77,12 @@ def _successors(nodes: DataFrame, limit: int, overlap: int) -> DataFrame:
 
 
 def reached(successors: DataFrame, most: int) -> DataFrame:
-    """(_key, at): the cuts that the start at 0 leads to, in log2(most) rounds of squaring."""
-    jumps = written(successors, "jumps")
+    """(_key, at): the cuts that the start at 0 leads to, in log2(most) rounds of squaring.
+
+    Only the start and cuts that are some cut's successor can be on the way; the others leave the table first.
+    """
+    possible = successors.select("_key", F.col("next").alias("at")).unionByName(successors.where("at = 0").select("_key", "at")).distinct()
+    jumps = written(successors.join(possible, ["_key", "at"], "left_semi"), "jumps")
     cuts = jumps.where("at = 0").select("_key", "at")
     for k in range(math.ceil(math.log2(max(2, most + 1)))):
         onward = cuts.join(jumps, ["_key", "at"]).select("_key", F.col("next").alias("at"))
