@@ -44,9 +44,25 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+_RELEASED: set[str] = set()
+
+
+def release(spark: SparkSession, own: str | None = None) -> None:
+    """Delete the application's tables in the shared folder; DataFrames that still read them end."""
+    own = own or f"{shared_dir(spark)}/volspark-{spark.sparkContext.applicationId}"
+    try:
+        Files(spark, own).delete(own)
+    except Exception:  # noqa: BLE001 - at the end of a program the session may be gone; the folder's owner then clears it
+        pass
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, below one directory for each application."""
-    return f"{shared_dir(spark)}/volspark-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one directory for each application, which goes when the program ends."""
+    own = f"{shared_dir(spark)}/volspark-{spark.sparkContext.applicationId}"
+    if own not in _RELEASED:
+        _RELEASED.add(own)
+        atexit.register(release, spark, own)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
