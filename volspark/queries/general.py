@@ -48,9 +48,73 @@ def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.path_statistics(schema_drift.drift_tables(load(spark, sf_dir, "conf_files")), [])
 
 
+def _p2_sql() -> str:
+    """The definition over whole sources, without proposals."""
+    fields = ["mean", "min", "max"]
+
+    def levels(source: str, skip: str | None) -> str:
+        cols = []
+        for f in fields:
+            x = f'"{f}"' if skip is None else f'case when not {skip}_{f} then "{f}" end'
+            side = lambda r, x=x: f"case when count({x}) over (partition by source_file, type order by index rows between {r}) >= 3 then median({x}) over (partition by source_file, type order by index rows between {r}) end"
+            cols += [
+                f"{side('9 preceding and 1 preceding')} as a_{f}", f"{side('1 following and 9 following')} as b_{f}",
+                f"median({x}) over (partition by source_file, type order by index rows between 9 preceding and 9 following exclude current row) as l_{f}",
+            ]
+        return f"select *, {', '.join(cols)} from {source}"
+
+    def off(f: str) -> str:
+        a, b = f'("{f}" - coalesce(a_{f}, b_{f}, l_{f}))', f'("{f}" - coalesce(b_{f}, a_{f}, l_{f}))'
+        return f"coalesce(case when {a} * {b} > 0 then least(abs({a}), abs({b})) end, 0) > 10 * coalesce(s_{f}, 0)"
+
+    scatter = ", ".join(f'1.4826 * median(abs("{f}" - l_{f})) as s_{f}' for f in fields)
+    base = "source_file, type, index, mean, min, max, " + ", ".join(f"s_{f}" for f in fields)
+    order = "(partition by source_file, type order by index rows between 3 preceding and current row)"
+    ahead = "(partition by source_file, type order by index rows between current row and 3 following)"
+    return f"""
+with f as (select source_file, type, index, arg_max(mean, row_id) as mean, arg_max(min, row_id) as min, arg_max(max, row_id) as max from frame_manifest
+           where source_file is not null and type is not null and index is not null and mean is not null and min is not null and max is not null group by all),
+g as (select *, not isfinite(mean) or min < 0 or max > 65535 or min > max or mean < min or mean > max as bad from f),
+e as (select *, case when mean is not distinct from lag(mean) over q and min = lag(min) over q and max = lag(max) over q then 0 else 1 end as new from g window q as (partition by source_file, type order by index)),
+i as (select *, sum(new) over (partition by source_file, type order by index) as run from e),
+stuck as (select source_file, type, index from (select *, count(*) over (partition by source_file, type, run) as n from i) where n >= 5),
+ok as (select source_file, type, index, mean, min, max from g where not bad),
+l1 as ({levels('ok', None)}),
+sc as (select source_file, type, {scatter} from l1 group by all),
+p1 as (select l1.*, {', '.join(f's_{f}' for f in fields)} from l1 join sc using (source_file, type)),
+c1 as (select {base}, {', '.join(f'{off(f)} as first_{f}' for f in fields)} from p1),
+l2 as ({levels('c1', 'first')}),
+c2 as (select source_file, type, index, {', '.join(f'cast(first_{f} or {off(f)} as int) as far_{f}' for f in fields)} from l2),
+c3 as (select *, {', '.join(f'cast(sum(far_{f}) over {order} = 4 as int) as long_{f}' for f in fields)} from c2),
+c4 as (select source_file, type, index, {' or '.join(f'(far_{f} = 1 and max(long_{f}) over {ahead} = 0)' for f in fields)} as spike from c3)
+select source_file, type, index from g where bad union select source_file, type, index from stuck union select source_file, type, index from c4 where spike"""
+
+
+_LEAVES = """
+with files as (select conf_id, sample_id, written_at, body from conf_files where sample_id is not null and json_valid(body) and json_type(body) = 'OBJECT'),
+tree as (select f.conf_id, replace(substr(t.fullkey, 3), '"', '') as field, t.type, t.value from files f, json_tree(f.body) t
+         where t.fullkey <> '$' and not regexp_matches(t.fullkey, '\\[[0-9]+\\]') and (t.type <> 'OBJECT' or t.value = '{}')),
+leaf as (select conf_id, field, case when type = 'VARCHAR' then 'string' when type = 'BOOLEAN' then 'boolean' when type = 'ARRAY' then 'array' when type = 'OBJECT' then 'object' when type = 'NULL' then 'null' else 'number' end as kind,
+         case when type in ('VARCHAR', 'BOOLEAN', 'ARRAY', 'OBJECT', 'NULL') then cast(value as varchar) else cast(cast(value as double) as varchar) end as v from tree)"""
+_P5_SQL = (
+    _LEAVES
+    + """,
+pair as (select conf_id, lag(conf_id) over (partition by sample_id order by written_at, conf_id) as old from files),
+gone as (select p.conf_id, l.field, l.kind, l.v from pair p join leaf l on l.conf_id = p.old where not exists (select 1 from leaf n where n.conf_id = p.conf_id and n.field = l.field)),
+come as (select p.conf_id, l.field, l.kind, l.v from pair p join leaf l on l.conf_id = p.conf_id where p.old is not null and not exists (select 1 from leaf n where n.conf_id = p.old and n.field = l.field)),
+moved as (select g.conf_id, g.field as before, c.field as after from gone g join come c on g.conf_id = c.conf_id and g.kind = c.kind and g.v = c.v where g.kind <> 'null' and g.v <> '""')
+select distinct conf_id, before as field, 'renamed' as change from moved
+union all select conf_id, field, 'removed' from gone g where not exists (select 1 from moved m where m.conf_id = g.conf_id and m.before = g.field)
+union all select conf_id, field, 'added' from come c where not exists (select 1 from moved m where m.conf_id = c.conf_id and m.after = c.field)
+union all select p.conf_id, n.field, 'type_changed' from pair p join leaf n on n.conf_id = p.conf_id join leaf o on o.conf_id = p.old and o.field = n.field where n.kind <> o.kind and n.kind <> 'null' and o.kind <> 'null'"""
+)
+
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_containers, p5_found, p5_table, p5_paths)}
 
 SQL = {
+    "p2_found": _p2_sql(),
+    "p5_found": _P5_SQL,
+    "p5_paths": _LEAVES + " select field as path, kind as type, count(*) as files, min(conf_id) as first_file, max(conf_id) as last_file from leaf group by all",
     "p1_found": """
 with logged as (select * from sync_runs qualify row_number() over (partition by run_id order by logged_at desc, status desc) = 1),
 runs as (select run_id, tree, started_at from logged where status = 'succeeded' and started_at is not null),
