@@ -140,6 +140,26 @@ def test_kernels(spark):
     assert np.allclose(S.sample(a, np.array([1.5]), np.array([2.0])), (a[1, 2] + a[2, 2]) / 2)
 
 
+def test_reports(spark):
+    rng = np.random.default_rng(9)
+    y, x = np.indices((160, 160))
+    pre = 5000 + 1500 * np.sin(y / 40) + rng.normal(0, 4, y.shape)
+    post = 1.1 * (5000 + 1500 * np.sin((y - 12) / 40)) + rng.normal(0, 4, y.shape)
+    r = S.compare(pre, post)
+    assert 5 < r["drift_percent"] < 15 and abs(r["noise"] - 4) < 1 and r["motion_to_noise"] > 3 and r["method"] == "flow"
+    assert S.compare(pre, pre + rng.normal(0, 4, y.shape))["method"] == "transport"
+    mid = np.exp((np.log(pre) + np.log(post)) / 2)
+    left = S.leftover(pre, post, mid, 0.5, np.ones(y.shape, bool))
+    assert left["best"] in ("crossfade", "transport") and left["share"] > 0.9 and left["worthwhile"]
+
+
+def test_rename_plans(spark):
+    files = spark.createDataFrame([("d/a/x.tif.gz",), ("d/a/y_7.tif",), ("e/a/x.tif.br",)], "path string")
+    plan = {r.path: (r.new, r.collides) for r in A.rename_plan(files, X.unzipped_name(F.col("path"))).collect()}
+    assert plan == {"d/a/x.tif.gz": ("a/x.tif", True), "e/a/x.tif.br": ("a/x.tif", True), "d/a/y_7.tif": ("a/y_7", False)}
+    assert A.rename_plan(files, X.padded_name(F.substring_index("path", "/", -1))).collect() == [("d/a/y_7.tif", "y_00007.tif", False)]
+
+
 def test_decomposition_reconstructs(spark):
     from volspark.operators.volume import planes
 

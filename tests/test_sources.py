@@ -115,6 +115,18 @@ def test_raw_volume(spark, tmp_path):
         spark.read.format("rawvolume").options(**o | {"depth": "5"}).load(path).count()
 
 
+def test_row_windows_and_byte_spans(spark, tmp_path):
+    for k in range(3):
+        tiff.write(str(tmp_path / f"p{k}.tif"), [np.arange(12, dtype="uint16").reshape(3, 4) + 100 * k], "none" if k else "zlib")
+    rows = spark.read.format("tiffstack").option("rows", "1:3").load(str(tmp_path)).sort("z").collect()
+    assert [r.pixels for r in rows] == [(np.arange(4, 12) + 100 * k).tolist() for k in range(3)] and rows[0].height == 2
+    (tmp_path / "raw").write_bytes(b"__abc--DEF++")
+    spans = spark.read.format("bytespans").options(offset="2", stride="5", size="3", count="2")
+    assert [bytes(r.data) for r in spans.load(str(tmp_path / "raw")).sort("k").collect()] == [b"abc", b"DEF"]
+    with pytest.raises(Exception):
+        spans.option("count", "3").load(str(tmp_path / "raw")).collect()
+
+
 def test_file_tree(spark, tmp_path):
     (tmp_path / "a/b").mkdir(parents=True)
     for n, size in (("top", 3), ("a/_hidden", 0), ("a/b/.dot", 5)):

@@ -45,6 +45,16 @@ def without_slashes(path: Column) -> Column:
     return F.regexp_replace(path, "^/+|/+$", "")
 
 
+def unzipped_name(path: Column) -> Column:
+    """Where an unpacked file goes: the name of its directory with the file's last ending but one, or without its only one."""
+    parent, name = F.element_at(F.split(path, "/"), -2), F.substring_index(path, "/", -1)
+    return F.concat(parent, F.lit("/"), F.regexp_replace(name, r"\.[^.]*$", ""))
+
+
+def without_zip(name: Column) -> Column:
+    return F.regexp_replace(name, r"\.gz$", "")
+
+
 # addresses ---------------------------------------------------------------------------------------------------------
 def layer_address(source: Column) -> Column:
     """`a|b` as `precomputed://a`; others as they are."""
@@ -200,7 +210,7 @@ def human_bytes(n: Column) -> Column:
     """Bytes in the largest binary unit below them, with two decimals."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1 << 10 * k, F.concat(F.format_string("%.2f", n / float(1 << 10 * k)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1 << 10 * k, F.concat(F.format_string("%.2f", F.bround(n / float(1 << 10 * k), 2)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

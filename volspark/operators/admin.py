@@ -49,6 +49,13 @@ def path_moves(paths: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.join(verdict, "sample").select("sample", "step", "old", "new", "action", "movable")
 
 
+def rename_plan(files: DataFrame, new: Column) -> DataFrame:
+    """(path, new, collides): new names of files, null ones left out; two files of one new name collide."""
+    rows = files.select("path", new.alias("new")).where("new is not null")
+    twice = rows.groupBy("new").agg((F.count(F.lit(1)) > 1).alias("collides"))
+    return rows.join(twice, "new").select("path", "new", "collides")
+
+
 def file_fingerprints(files: DataFrame) -> DataFrame:
     """SHA-256 of the sorted (name, size) of each parent's files. Directories are listings of one node, small by nature."""
     listing = F.transform(F.array_sort(F.collect_list(F.struct("name", "size"))), lambda x: F.concat_ws(":", x["name"], x["size"].cast("string")))

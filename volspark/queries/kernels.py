@@ -56,6 +56,11 @@ def transport_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.voxels(S.apply_pairs(S.pairs_of(_planes(spark, sf_dir)), lambda a, b: S.transported(a, b, 0.25, 2.0)))
 
 
+@query()
+def flat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.compare_pairs(S.pairs_of(_planes(spark, sf_dir)))
+
+
 _SURFACE = (
     "with v as (select cast(event_id // 100 as int) as z, cast((event_id % 100) // 10 as int) as y, cast(event_id % 10 as int) as x, user_id % 3 as v from events), k as (select * from v where v <> 0), "
     "n as (select k.v, a.axis, a.side, k.z, k.y, k.x, o.v as w from k cross join (values ('z', 0, -1, 0, 0), ('z', 1, 1, 0, 0), ('y', 0, 0, -1, 0), ('y', 1, 0, 1, 0), ('x', 0, 0, 0, -1), ('x', 1, 0, 0, 1)) a(axis, side, dz, dy, dx) "

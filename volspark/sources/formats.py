@@ -74,6 +74,7 @@ class TiffStackReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.order = options["path"], options.get("order", "natural")
         self.per_task, self.range = int(options.get("planespertask", 16)), Range()
+        self.rows = tuple(map(int, options["rows"].split(":"))) if "rows" in options else None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
@@ -95,7 +96,7 @@ class TiffStackReader(DataSourceReader):
                 found = list(tiff.pages(f))
                 if page == 0 and len(found) != 1 and len(partition.items) > 1 and partition.items[0][0] != partition.items[-1][0]:
                     raise ValueError(f"{path} has {len(found)} pages")
-                image = tiff.read_page(f, found[page])
+                image = tiff.read_rows(f, found[page], *self.rows) if self.rows else tiff.read_page(f, found[page])
             if image.ndim != 2:
                 raise ValueError(f"{path} is no grey image")
             yield partition.first + k, os.path.basename(path), *image.shape, image.dtype.name, image.astype(float).ravel().tolist()
@@ -152,7 +153,8 @@ class TiffStackWriter(DataSourceWriter):
 
 
 class TiffStack(DataSource):
-    """`path`: a directory of single-page files or one file of many pages; `order`: name, natural or stem."""
+    """`path`: a directory of single-page files or one file of many pages; `order`: name, natural or stem;
+    `rows`: first:last, a window of rows, of which uncompressed files give no other bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -181,7 +183,7 @@ class RawVolumeReader(DataSourceReader):
         self.path, self.header = o["path"], int(o.get("headerbytes", 0))
         self.width, self.height, self.depth = (int(o[k]) for k in ("width", "height", "depth"))
         mark = {"big": ">", "little": "<"}.get(o.get("byteorder", "native"), "=")
-        self.dtype, self.per_task, self.range, self.rows = np.dtype(mark + np.dtype(o["dtype"]).str[1:]), int(o.get("planespertask", 16)), Range(), Range()
+        self.dtype, self.per_task, self.range = np.dtype(mark + np.dtype(o["dtype"]).str[1:]), int(o.get("planespertask", 16)), Range()
         expected = self.header + self.width * self.height * self.depth * self.dtype.itemsize
         if os.path.getsize(self.path) != expected:
             raise ValueError(f"{self.path} has {os.path.getsize(self.path)} bytes; {expected} are expected")
@@ -218,6 +220,45 @@ class RawVolume(DataSource):
         return RawVolumeReader({k.lower(): v for k, v in self.options.items()})
 
 
+@dataclass
+class Spans(InputPartition):
+    path: str
+
+
+class ByteSpansReader(DataSourceReader):
+    """Spans of bytes at even distances of each file; a span that the file cuts short is an error."""
+
+    def __init__(self, o: dict[str, str]):
+        self.paths = o["path"].split(",")
+        self.offset, self.stride, self.size, self.count = (int(o[k]) for k in ("offset", "stride", "size", "count"))
+
+    def partitions(self) -> list[InputPartition]:
+        return [Spans(p) for p in self.paths]
+
+    def read(self, p: Spans) -> Iterator[tuple]:
+        with open(p.path, "rb") as f:
+            for k in range(self.count):
+                f.seek(self.offset + k * self.stride)
+                data = f.read(self.size)
+                if len(data) != self.size:
+                    raise ValueError(f"{p.path} ends within span {k}")
+                yield p.path, k, data
+
+
+class ByteSpans(DataSource):
+    """Options: path (several by commas), offset, stride, size, count."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bytespans"
+
+    def schema(self) -> str:
+        return "file string, k int, data binary"
+
+    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
+        return ByteSpansReader({k.lower(): v for k, v in self.options.items()})
+
+
 @dataclass
 class Tree(InputPartition):
     path: str
@@ -387,5 +428,5 @@ def bytes_of_scale(size: list[int], dtype: str, channels: int = 1) -> int:
 
 def register(spark: SparkSession) -> None:
     """Make the formats known; filters reach them where the session allows it."""
-    for source in (TiffStack, RawVolume, FileTree, Chunked):
+    for source in (TiffStack, RawVolume, ByteSpans, FileTree, Chunked):
         spark.dataSource.register(source)
