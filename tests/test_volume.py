@@ -145,6 +145,32 @@ def test_input_range_is_all_that_is_needed(spark):
         assert (array(P.run(table(spark, cut), s, a.shape))[3:5] == whole[3:5]).all()
 
 
+def test_ranges_equal_the_whole(spark):
+    a = np.random.default_rng(4).integers(0, 999, (11, 6, 6)).astype(float)
+    df = table(spark, a)
+    for s in (
+        P.PipelineSpec(normalize=(5, 95), trim_z=(1, 2), mip=3, mask=1.0, bin_power=1),
+        P.PipelineSpec(trim_z=(2, 0), mip=2, mask=0.8, denoise="threshold", threshold=0.3, flip="z", dtype=None),
+        P.PipelineSpec(denoise="flat", threshold=300, flip="y", dtype="uint16"),
+    ):
+        whole = P.run(df, s, a.shape)
+        depth = s.output_depth(11)
+        for first, last in ((0, 2), (2, 5), (depth - 1, depth)):
+            expected = sorted(map(tuple, whole.where((F.col("z") >= first) & (F.col("z") < last)).collect()))
+            assert sorted(map(tuple, P.run_range(df, s, a.shape, first, last).collect())) == expected
+
+
+def test_coordinates_reach_the_scan(spark):
+    import os
+
+    from volspark import views
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test data")
+    plan = views.voxels(spark, "/root/testdata/sf0.001", planes=(3, 8))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(event_id,300)" in plan and "ReadSchema: struct<event_id:bigint,value:double>" in plan
+
+
 def test_impossible_specs():
     for bad in ({"normalize": (9, 5)}, {"denoise": "x"}, {"flip": "q"}, {"mip": -1}):
         with pytest.raises(ValueError):

@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..operators import volume as V
 
-#: Steps that may change places, by pair; others may not.
-COMMUTING = {("trim_z", "convert"), ("flip", "convert"), ("mask", "flip_xy"), ("trim_z", "manual_bounds")}
-
-
 @dataclass(frozen=True)
 class PipelineSpec:
     normalize: tuple[float, float] | None = None
@@ -59,8 +55,9 @@ class PipelineSpec:
             last += self.mip - 1
         return lo + first, lo + last
 
-    def may_trim_before_normalizing(self) -> bool:
-        return self.normalize is None
+    def output_depth(self, depth: int) -> int:
+        lo, hi = N.crop_bounds(self.trim_z, depth)
+        return hi - lo - (self.mip - 1 if self.mip_axis == "z" else 0)
 
 
 def output_names(names: list[str], spec: PipelineSpec) -> list[str]:
@@ -70,8 +67,8 @@ def output_names(names: list[str], spec: PipelineSpec) -> list[str]:
     return kept[spec.mip - 1 :] if spec.mip_axis == "z" else kept
 
 
-def run(df: DataFrame, spec: PipelineSpec, size: tuple[int, int, int]) -> DataFrame:
-    """The chain over a volume of the given size; (z, y, x, v)."""
+def run(df: DataFrame, spec: PipelineSpec, size: tuple[int, int, int], fill: float | None = None) -> DataFrame:
+    """The chain over a volume of the given size; (z, y, x, v). `fill`: for masked voxels, where it isn't to be found."""
     spec = spec.validate().simplified()
     rows = df.select("z", "y", "x", F.col("v").cast("double").alias("v"))
     if spec.normalize or spec.bounds:
@@ -84,7 +81,8 @@ def run(df: DataFrame, spec: PipelineSpec, size: tuple[int, int, int]) -> DataFr
     if spec.mip > 1:
         depth, height, width = (n - (spec.mip - 1 if a == spec.mip_axis else 0) for a, n in zip(V.AXES, (depth, height, width)))
     if spec.mask is not None:
-        fill = 0.0 if spec.normalize or spec.bounds else rows.agg(F.min("v")).first()[0]
+        if fill is None:
+            fill = 0.0 if spec.normalize or spec.bounds else rows.agg(F.min("v")).first()[0]
         rows = V.circular_mask(rows, spec.mask, height, width, fill)
     if spec.denoise == "threshold":
         rows = V.denoise_threshold(rows, spec.threshold)
@@ -96,3 +94,23 @@ def run(df: DataFrame, spec: PipelineSpec, size: tuple[int, int, int]) -> DataFr
         rows = V.stretch(rows, spec.dtype)
     factor = 1 << spec.bin_power
     return V.spatial_bin(rows, factor, height, width, spec.dtype in N.INTEGERS).select("z", "y", "x", "v")
+
+
+def run_range(df: DataFrame, spec: PipelineSpec, size: tuple[int, int, int], first: int, last: int) -> DataFrame:
+    """Output planes first..last-1 of the chain, from no more input planes than they need.
+
+    What depends on the whole volume (percentiles, the fill of masked voxels) is found first, over all of it.
+    """
+    spec = spec.validate().simplified()
+    bounds = spec.bounds or (tuple(N.exact_percentiles(df, "v", list(spec.normalize))) if spec.normalize else None)
+    fill = 0.0
+    if spec.mask is not None and bounds is None:
+        fill = run(df, replace(spec, mask=None, denoise=None, flip=None, dtype=None, bin_power=0), size).agg(F.min("v")).first()[0]
+    lo, hi = spec.input_range(first, last, size[0])
+    part = replace(spec, normalize=None, bounds=bounds, trim_z=(0, 0))
+    cut = df.where((F.col("z") >= lo) & (F.col("z") < hi)).withColumn("z", (F.col("z") - lo).cast("int"))
+    rows = run(cut, part, (hi - lo, *size[1:]), fill)
+    begin = lo - N.crop_bounds(spec.trim_z, size[0])[0]
+    if spec.flip == "z":
+        begin = spec.output_depth(size[0]) - begin - part.output_depth(hi - lo)
+    return rows.withColumn("z", (F.col("z") + begin).cast("int")).where((F.col("z") >= first) & (F.col("z") < last))

@@ -271,6 +271,17 @@ def pipeline_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec.run(v, FLAGSHIP, V.shape(v))
 
 
+@query(f"with w as ({_PIPE + _TAIL.format('c')}) select * from w where z >= 2 and z < 5")
+def pipeline_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.voxels(spark, sf_dir)
+    return spec.run_range(v, FLAGSHIP, V.shape(v), 2, 5)
+
+
+@query(_mip_sql("z", 3).replace("from events)", "from events where event_id >= 300 and event_id < 800)"))
+def mip_z_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.sliding_max(views.voxels(spark, sf_dir, planes=(3, 8)), "z", 3)
+
+
 @query(
     _PIPE
     + "g as (select z, 0.4 * (max(max(v)) over w - min(min(v)) over w) as gap from c group by z window w as (order by z rows between 1 preceding and 1 following)), "

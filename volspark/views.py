@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from .session import load
 
 
-def voxels(spark: SparkSession, sf_dir: str, value: str = "value") -> DataFrame:
-    """Planes of 10 x 10 voxels."""
+def voxels(spark: SparkSession, sf_dir: str, value: str = "value", planes: tuple[int, int] | None = None) -> DataFrame:
+    """Planes of 10 x 10 voxels. `planes`: only those from the first to before the last, stated as a range of ids, which reaches the scan as
+    a range of computed coordinates would not."""
     e = load(spark, sf_dir, "events")
+    if planes:
+        e = e.where((F.col("event_id") >= 100 * planes[0]) & (F.col("event_id") < 100 * planes[1]))
     i = F.col("event_id")
     return e.select(F.floor(i / 100).cast("int").alias("z"), F.floor(F.pmod(i, F.lit(100)) / 10).cast("int").alias("y"), F.pmod(i, F.lit(10)).cast("int").alias("x"), F.col(value).alias("v"))
 
