@@ -208,3 +208,49 @@ def test_usage_stream(spark, tmp_path):
     got = {(r.began, r.peak, r.samples) for r in spark.read.parquet(out).collect()}
     assert got == {(t, 2, 3), (t + timedelta(minutes=30), 31, 2)}
     assert usage.sessions(spark.createDataFrame(rows, schema)).count() == 3
+
+
+def test_selections(spark, tmp_path):
+    names = spark.createDataFrame([("ab1",), ("b2",), (".h",), ("c_mesh",)], "name string")
+    got = lambda df: sorted(r[0] for r in df.collect())
+    assert got(A.with_prefixes(names, "name", ["ab", "b", "ab"])) == ["ab1", "b2"] and got(A.with_prefixes(names, "name", [])) == []
+    assert got(A.datasets(names, ("_mesh",))) == ["ab1", "b2"] and got(A.remaining(names, names.where("name = 'b2'"), "name")) == [".h", "ab1", "c_mesh"]
+    assert got(A.idle_nodes(spark.createDataFrame([("n1 x idle",), ("n2 x down",), ("n3 mix",)], "value string"))) == ["n1", "n3"]
+    assert got(A.node_range("n", 8, 10, spark)) == ["n10", "n8", "n9"]
+    assert {tuple(r) for r in A.present_scales(spark.createDataFrame([("a",), ("b",)], "scale string"), spark.createDataFrame([("b",), ("c",)], "parent string")).collect()} == {("a", True, False), ("b", True, True), ("c", False, True)}
+    assert {tuple(r) for r in A.successes(spark.createDataFrame([(200,), (404,), (None,)], "status int")).collect()} == {(True, 1), (False, 2)}
+    (tmp_path / "p.csv").write_text("1,2,3\n4, 5,6.5\n")
+    assert [(r.ord, r.px, r.pz) for r in Y.read_points(spark, str(tmp_path / "p.csv")).sort("ord").collect()] == [(0, 1, 3), (1, 4, 6.5)]
+    (tmp_path / "q.csv").write_text("1,2\n")
+    with pytest.raises(Exception):
+        Y.read_points(spark, str(tmp_path / "q.csv")).collect()
+
+
+def test_documents(spark):
+    docs = spark.createDataFrame([("a", '{"type":"image","data_type":"uint8","num_channels":1,"scales":[{"key":"k","size":[1,2,3]},{"key":"l"}]}'), ("b", "{"), ("c", "{}")], "doc string, body string")
+    rows = {(r.doc, r.mip): (r.key, r["size"], r.broken) for r in metadata.scales_of(docs).collect()}
+    assert rows == {("a", 0): ("k", [1, 2, 3], False), ("a", 1): ("l", None, False), ("b", None): (None, None, True), ("c", None): (None, None, True)}
+    yaml = spark.createDataFrame([("f", "a:\n  b: 1\n  c: [x]\n"), ("g", "a: [")], "path string, value string")
+    assert {tuple(r) for r in metadata.yaml_settings(yaml).collect()} == {("f", "a.b", "1"), ("f", "a.c", '["x"]'), ("g", None, None)}
+    assert str(each(spark, ["scan done 2024-01-02 03:04:05.000006"], X.log_time)[0]) == "2024-01-02 03:04:05.000006" and each(spark, ["x"], X.log_time) == [None]
+    assert [r[0] for r in spark.createDataFrame([([1],), ([1, 2],), ([1] * 70,)], "v array<int>").select(X.value_text(F.col("v"))).collect()] == ["1", "[1, 2]", "<70 values>"]
+
+
+def test_volume_extras(spark):
+    from volspark.functions import numeric as N
+    from volspark.operators import volume as V
+
+    df = spark.createDataFrame([(z, y, x, float(z * 12 + y * 4 + x)) for z in range(2) for y in range(3) for x in range(4)], "z int, y int, x int, v double")
+    got = {(r.z, r.y, r.x): r.v for r in V.fetch(df, [0, 1, 1], [2, 3, 4], "float32", True).collect()}
+    a = np.arange(24.0).reshape(2, 3, 4)[0:2, 1:3, 1:4].transpose(2, 0, 1)
+    assert got == {k: a[k] for k in np.ndindex(a.shape)}
+    types = V.as_types(df.where("v <= 10"), ["uint16", "float32", "uint16"], "manual", 0, 10)
+    assert list(types) == ["uint16", "float32"] and types["uint16"].agg({"v": "max"}).first()[0] == 65535 and types["float32"].agg({"v": "max"}).first()[0] == 1
+    assert V.as_types(df, ["uint8"], "percentile", 0, 100)["uint8"].agg({"v": "max"}).first()[0] == 255
+    assert N.even_steps(0, 1, 0.25) == [0, 0.25, 0.5, 0.75, 1] and N.even_steps(2, 0, 1) == [2, 1, 0]
+    planes = V.planes(df).withColumn("dtype", F.lit("uint8"))
+    assert V.check_layout(planes) == (3, 4, "uint8")
+    with pytest.raises(ValueError):
+        V.check_layout(planes.unionByName(planes.withColumn("height", F.lit(9))))
+    rng = np.random.default_rng(1).random((16, 16)) + 1
+    assert np.allclose(S.separated_warped(rng, rng, np.ones((16, 16)), 0.4, rounds=2), rng, rtol=0.1)

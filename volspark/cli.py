@@ -200,6 +200,22 @@ def precompute(spark: SparkSession, a: argparse.Namespace) -> None:
         formats.write_chunked(V.voxels(p), a.target, info)
 
 
+@task("transform", "memmap-prep", IN, OUT, ("--out-dtypes", {"default": "uint8"}), ("--normalize", {"default": "none"}), ("--low", {"type": float}), ("--high", {"type": float}), RUN)
+def memmap_prep(spark: SparkSession, a: argparse.Namespace) -> None:
+    v = V.voxels(planes(spark, a.source))
+    if a.execute:
+        v = v.persist()  # one reading for several outputs
+    for dtype, rows in V.as_types(v, a.out_dtypes.split(","), a.normalize, a.low, a.high).items():
+        save(rows, f"{a.target}/{dtype}", dtype, a.execute)
+    v.unpersist()
+
+
+@task("ng", "fetch", IN, OUT, ("--region", {"required": True, "help": "z0:z1,y0:y1,x0:x1"}), ("--out-dtype", {}), ("--transpose-axes", {"action": "store_true"}), RUN)
+def fetch(spark: SparkSession, a: argparse.Namespace) -> None:
+    first, last = zip(*[map(int, t.split(":")) for t in a.region.split(",")])
+    save(V.fetch(spark.read.format("chunkedvolume").load(a.source), list(first), list(last), a.out_dtype, a.transpose_axes), a.target, a.out_dtype or "float64", a.execute)
+
+
 @task("ng", "validate", IN, ("--mip", {"type": int, "default": 0}))
 def validate(spark: SparkSession, a: argparse.Namespace) -> None:
     v = spark.read.format("chunkedvolume").option("mip", a.mip).load(a.source)

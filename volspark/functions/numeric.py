@@ -112,3 +112,9 @@ def exact_percentiles(df: DataFrame, column: str, percents: list[float], keep: i
         lo, hi = found[math.floor(x)], found[math.ceil(x)]
         out.append(lo + (hi - lo) * (x - math.floor(x)))
     return out
+
+
+def even_steps(start: float, stop: float, step: float) -> list[float]:
+    """From start to stop, both included, in as many even steps as fit."""
+    n = int(abs(stop - start) / abs(step) + 1e-9)
+    return [start + (stop - start) * k / n for k in range(n + 1)] if n else [start]

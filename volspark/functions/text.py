@@ -222,3 +222,13 @@ def fingerprint(*values: Column) -> Column:
 def status_text(name: Column) -> Column:
     """`FLATS_GENERATED_UC` as `Flats Generated Uc`."""
     return F.initcap(F.replace(F.lower(name), F.lit("_"), F.lit(" ")))
+
+
+def log_time(line: Column) -> Column:
+    """The time that the last 26 signs of a log line state; null if they state none."""
+    return F.try_to_timestamp(F.substring(F.rtrim(line), F.length(F.rtrim(line)) - 25, F.lit(26)), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+def value_text(value: Column, most: int = 64) -> Column:
+    """An array of one as its value, a longer one as a list, one of more than `most` by its size."""
+    return F.when(F.size(value) == 1, value[0].cast("string")).when(F.size(value) > most, F.concat(F.lit("<"), F.size(value).cast("string"), F.lit(" values>"))).otherwise(F.concat(F.lit("["), F.concat_ws(", ", value.cast("array<string>")), F.lit("]")))

@@ -185,3 +185,48 @@ def usage_summary(samples: DataFrame, by: list[str]) -> DataFrame:
 def tally(events: DataFrame, total: int) -> DataFrame:
     """Completions so far, never falling and never above the total. events: ord, done."""
     return events.withColumn("shown", F.least(F.max("done").over(W.orderBy("ord").rowsBetween(W.unboundedPreceding, 0)), F.lit(total)))
+
+
+# selections --------------------------------------------------------------------------------------------------------
+def with_prefixes(rows: DataFrame, column: str, prefixes: list[str]) -> DataFrame:
+    """Rows whose name begins with any of some distinct prefixes; none for an empty list."""
+    hit = F.lit(False)
+    for p in dict.fromkeys(prefixes):
+        hit = hit | F.col(column).startswith(p)
+    return rows.where(hit)
+
+
+def idle_nodes(lines: DataFrame, states: tuple[str, ...] = ("idle", "mix")) -> DataFrame:
+    """First words of lines whose last word is one of some states."""
+    p = F.split(F.trim("value"), r"\s+")
+    return lines.where(F.element_at(p, -1).isin(*states)).select(p[0].alias("name"))
+
+
+def node_range(prefix: str, start: int, stop: int, spark) -> DataFrame:  # noqa: ANN001
+    """Names of numbered nodes, the last included."""
+    return spark.range(start, stop + 1).select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("name"))
+
+
+def datasets(directories: DataFrame, derived: tuple[str, ...]) -> DataFrame:
+    """Directories that aren't hidden and whose name has no ending of derived data."""
+    rows = directories.where(~F.col("name").startswith("."))
+    for ending in derived:
+        rows = rows.where(~F.col("name").endswith(ending))
+    return rows
+
+
+def present_scales(scales: DataFrame, files: DataFrame) -> DataFrame:
+    """(scale, expected, there): expected scales and those found as directories of files, all of either side."""
+    a = scales.select("scale", F.lit(True).alias("expected")).distinct()
+    b = files.select(F.col("parent").alias("scale"), F.lit(True).alias("there")).distinct()
+    return a.join(b, "scale", "full").select("scale", F.coalesce("expected", F.lit(False)).alias("expected"), F.coalesce("there", F.lit(False)).alias("there"))
+
+
+def remaining(expected: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """What is still to be done."""
+    return expected.join(done.select(key), key, "left_anti")
+
+
+def successes(responses: DataFrame) -> DataFrame:
+    """(ok, n): responses by whether their status is 200 to 299."""
+    return responses.groupBy(F.coalesce((F.col("status") >= 200) & (F.col("status") < 300), F.lit(False)).alias("ok")).agg(F.count(F.lit(1)).alias("n"))

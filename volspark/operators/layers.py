@@ -101,3 +101,12 @@ def copy_position(target: Column, source: Column) -> Column:
     moved = F.map_filter(source, lambda k, _: k.isin(*POSITION_FIELDS))
     kept = F.map_filter(target, lambda k, _: ~F.array_contains(F.map_keys(moved), k))
     return F.map_concat(kept, moved)
+
+
+def read_points(spark, path: str, layer: int = 0) -> DataFrame:  # noqa: ANN001
+    """Annotations (layer, ord, px, py, pz) of a CSV file of three numbers a line, in the file's order; any other line raises."""
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+\z", ""), r"\r?\n")).alias("ord", "line"))
+    p = F.transform(F.split("line", ","), lambda t: F.trim(t).try_cast("double"))
+    good = (F.size(p) == 3) & F.forall(p, lambda v: v.isNotNull())
+    checked = F.when(good, p).otherwise(F.raise_error(F.concat(F.lit("no three numbers: "), "line")).cast("array<double>"))
+    return rows.select(F.lit(layer).cast("bigint").alias("layer"), F.col("ord").cast("bigint").alias("ord"), checked.alias("p")).select("layer", "ord", *[F.col("p")[k].alias(n) for k, n in enumerate(("px", "py", "pz"))])

@@ -79,3 +79,40 @@ def file_report(stats: DataFrame) -> DataFrame:
         F.count_if(F.col("type") == "white").alias("whites"), F.count_if(F.col("type") == "dark").alias("darks"),
         F.try_divide(F.max(white) - F.min(white), F.avg(white)).alias("spread"), (F.max(moved) == 0).alias("zero_move"),
     )
+
+
+SCALE = "array<struct<key:string,encoding:string,size:array<bigint>,resolution:array<double>,voxel_offset:array<bigint>,chunk_sizes:array<array<int>>>>"
+
+
+def scales_of(documents: DataFrame, body: str = "body") -> DataFrame:
+    """(doc, mip, type, data_type, num_channels, key, encoding, size, resolution, voxel_offset, chunk_sizes, broken) of info documents; one row with `broken` for text that is none."""
+    info = F.from_json(body, f"struct<type:string,data_type:string,num_channels:int,scales:{SCALE}>")
+    rows = documents.select("doc", info.alias("i"), (F.try_parse_json(body).isNull() | info["scales"].isNull()).alias("broken"))
+    return rows.select("doc", "i.type", "i.data_type", "i.num_channels", "broken", F.posexplode_outer("i.scales").alias("mip", "s")).select("doc", "mip", "type", "data_type", "num_channels", "s.*", "broken")
+
+
+def yaml_settings(files: DataFrame) -> DataFrame:
+    """(path, key, value): leaves of YAML texts (path, value string) by dotted key, values as JSON; a broken text gives a row with a null key."""
+    import json
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def leaves(x: object, at: str = "") -> list[tuple[str, str]]:
+        if isinstance(x, dict) and x:
+            return [p for k, v in x.items() for p in leaves(v, f"{at}.{k}" if at else str(k))]
+        return [(at, json.dumps(x, default=str))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for b in batches:
+            rows = []
+            for path, text in zip(b["path"], b["value"]):
+                try:
+                    rows += [(path, k, v) for k, v in leaves(yaml.safe_load(text))]
+                except yaml.YAMLError:
+                    rows.append((path, None, None))
+            yield pd.DataFrame(rows, columns=["path", "key", "value"])
+
+    return files.select("path", "value").mapInPandas(run, "path string, key string, value string")

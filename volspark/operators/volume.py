@@ -220,3 +220,35 @@ def sampled_percentiles(df: DataFrame, low: float, high: float, depth: int, plan
     pick = W.partitionBy("z").orderBy(F.xxhash64(F.lit(seed), "z", "y", "x"), "y", "x")
     rows = df.where(F.col("z").isin(zs)).withColumn("_k", F.row_number().over(pick)).where(F.col("_k") <= pixels)
     return tuple(N.exact_percentiles(rows, "v", [low, high]))
+
+
+def check_layout(planes_: DataFrame) -> tuple[int, int, str]:
+    """Height, width and type that all planes share; raises if they differ or there are none."""
+    found = [tuple(r) for r in planes_.select("height", "width", "dtype").distinct().limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError("the planes differ in size or type" if found else "there are no planes")
+    return found[0]
+
+
+def fetch(df: DataFrame, first: list[int], last: list[int], dtype: str | None = None, transposed: bool = False) -> DataFrame:
+    """A region (z, y, x) counted from its corner, cast without a stretch, its axes moved so that the last comes first if asked."""
+    for a, lo, hi in zip(AXES, first, last):
+        df = df.where((F.col(a) >= lo) & (F.col(a) < hi)).withColumn(a, (F.col(a) - lo).cast("int"))
+    if dtype:
+        df = df.withColumn("v", F.col("v").cast(N.FLOATS[dtype]) if dtype in N.FLOATS else N.wrap(F.when(F.col("v") < 0, F.ceil("v")).otherwise(F.floor("v")), dtype))
+    return transpose(df, "xzy") if transposed else df
+
+
+def as_types(df: DataFrame, dtypes: list[str], mode: str = "none", low: float | None = None, high: float | None = None) -> dict[str, DataFrame]:
+    """One volume in several types: as it is, or scaled between bounds found over the whole volume (`minmax`, `percentile`) or given (`manual`)."""
+    if mode == "minmax":
+        low, high = bounds(df).first()
+    elif mode == "percentile":
+        low, high = N.exact_percentiles(df, "v", [low if low is not None else 0.1, high if high is not None else 99.9])
+    elif mode not in ("none", "manual"):
+        raise ValueError("mode is none, minmax, percentile or manual")
+    out = {}
+    for d in dict.fromkeys(dtypes):
+        v = F.col("v").cast("double")
+        out[d] = df.withColumn("v", (v.cast(N.FLOATS[d]) if d in N.FLOATS else N.saturating_cast(v, d)) if mode == "none" else N.unit_scale_cast(v, F.lit(float(low)), F.lit(float(high)), d))
+    return out
