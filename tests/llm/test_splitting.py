@@ -66,3 +66,14 @@ def test_greedy_cuts_equal_a_walk(spark):
 
 def test_empty_table(spark):
     assert splitting.split(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_a_text_of_many_blocks(spark):
+    """More tokens than a block of positions holds, with and without natural boundaries."""
+    words = "word " * 70_000
+    rows = splitting.split(spark.createDataFrame([(1, words), (2, "🔥" * 30_000)], "doc_id bigint, text string")).select("doc_id", "piece_no", "first_token", "end_token", "fresh").collect()
+    by = {k: sorted((r for r in rows if r.doc_id == k), key=lambda r: r.piece_no) for k in (1, 2)}
+    for k, text in ((1, words), (2, "🔥" * 30_000)):
+        assert "".join(r.fresh for r in by[k]) == text
+        assert all(b.first_token == a.end_token - splitting.OVERLAP for a, b in zip(by[k], by[k][1:]))
+        assert all(splitting.LIMIT - 4 <= r.end_token - r.first_token <= splitting.LIMIT for r in by[k][:-1])
