@@ -15,9 +15,10 @@ def with_positions(df: DataFrame, order: list[str | Column], name: str = "_pos")
     """The rows with their 0-based place in the order of the whole table, as a table in the shared folder.
 
     Range partitions are sorted each for itself; the place is the place in the partition plus the sizes of those before,
-    which are one row for each partition.
+    which are one row for each partition. Rows that are equal in `order` stand in any order; columns that are called `_gid`, `_part` or
+    `_before` are dropped.
     """
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_ = df.drop("_gid", "_part", "_before").repartitionByRange(*order).sortWithinPartitions(*order)
     rows = written(sorted_.withColumn("_gid", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_gid", 33)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
