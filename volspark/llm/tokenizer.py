@@ -165,7 +165,7 @@ def _encoded(df: DataFrame, text: str, path: str) -> DataFrame:
     places = rows.select("k1", "k2", F.explode("many").alias("m")).select("k1", "k2", "m.pos", "m.b")
     # a number of partitions that is stated isn't reduced by size: the words are few bytes but much work
     distinct = places.select("b").distinct().repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("b"))
-    ids = distinct.select("b", word_ids(F.col("b"), path).alias("ids"))
+    ids = written(distinct.select("b", word_ids(F.col("b"), path).alias("ids")), "ids")
     found = places.join(ids, "b").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "ids")).alias("found"))
     whole = rows.where(F.size("many") == 0).select("r", F.col("one").alias("w"))
     parts = rows.where(F.size("many") > 0).join(found, ["k1", "k2"]).select("r", F.array_sort(F.concat("one", "found")).alias("w"))
