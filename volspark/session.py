@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+PLAN_LENGTH, PLAN_TEXT = "spark.sql.maxPlanStringLength", "50000b"
 
 
 def local_session(cpus: int = 8, app: str = "volspark", **conf: str) -> SparkSession:
@@ -73,7 +74,13 @@ def written(df: DataFrame, what: str, partition_by: list[str] | None = None) ->
     spark = df.sparkSession
     path = scratch(spark, what)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    # a plan with a large literal has a text of its size, of which the driver would keep one for each change of the plan
+    length = spark.conf.get(PLAN_LENGTH)
+    spark.conf.set(PLAN_LENGTH, PLAN_TEXT)
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(PLAN_LENGTH, length)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
