@@ -7,6 +7,7 @@ built-in functions lack, so it runs in Python over Arrow batches. Everything els
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -118,17 +119,74 @@ COLUMNS: list[tuple[str, str, list[str]]] = [
 ]
 
 
+#: Names that a drifting field has carried in any section, without case and signs between words.
+NAMES = {
+    "comment": ["comment", "note", "remarks"],
+    "inner_comment": ["innercomment", "commentinner", "inner", "innernote"],
+    "outer_comment": ["outercomment", "commentouter", "outer", "outernote", "batchcomment"],
+    "has_scan": ["hasscan", "withscan", "scandone"],
+}
+_FIELD = {name: field for field, names in NAMES.items() for name in names}
+_KEYS = ("conf_id", "sample_id", "written_at")
+
+
+def resolved_columns(maps: DataFrame, most: int = 200) -> list[tuple[str, str, list[str]]]:
+    """The columns of the one table, decided by the statistics of all files: those of `COLUMNS` with every spelling and section of their
+    fields, then a column for each other field, by name.
+
+    A field of one type has that type, one of several is a string. Statistics come to the driver for the 10,000 most frequent pairs of path and
+    type, and the `most` most frequent other fields get columns; what is beyond stays in `rest` of `project_fields`.
+    """
+    stats = path_statistics(maps, []).select("path", "type", "files").orderBy(F.desc("files"), "path", "type").limit(10_000).collect()
+    paths = {n: list(ps) for n, _, ps in COLUMNS}
+    known = {p for ps in paths.values() for p in ps}
+    others: dict[str, dict] = {}
+    for path, kind, files in stats:
+        section, _, name = path.rpartition(".")
+        field = _FIELD.get(re.sub(r"[\W_]", "", name).lower()) if "." not in section else None
+        if path in known:
+            continue
+        if field:
+            if path not in paths[field]:
+                paths[field].append(path)
+        else:
+            x = others.setdefault(path.replace("-", "_").lower(), {"files": 0, "kinds": set(), "paths": []})
+            x["files"] += files
+            x["kinds"] |= {kind} - {"null"}
+            if path not in x["paths"]:
+                x["paths"].append(path)
+    columns = [(n, kind, paths[n]) for n, kind, _ in COLUMNS]
+    taken = {*_KEYS, "fields", "failed_casts", "rest", *paths}
+    for key in sorted(sorted(others, key=lambda k: (-others[k]["files"], k))[:most]):
+        name = base = re.sub(r"\W", "_", key) or "_"
+        k = 1
+        while name in taken:
+            k += 1
+            name = f"{base}_{k}"
+        taken.add(name)
+        kind = {frozenset({"number"}): "double", frozenset({"boolean"}): "boolean"}.get(frozenset(others[key]["kinds"]), "string")
+        columns.append((name, kind, others[key]["paths"]))
+    return columns
+
+
 def project_fields(maps: DataFrame, columns: list[tuple[str, str, list[str]]] = COLUMNS) -> DataFrame:
-    """One row for each readable file with fixed typed columns and `failed_casts`: the columns whose text didn't become the type.
+    """One row for each readable file with fixed typed columns, `failed_casts`: the columns whose text didn't become the type, and `rest`:
+    (path, type, value) of every leaf that no column carries, by path.
 
-    A column takes the first of its paths that is there and not null.
+    A column takes the first of its paths that is there and not null. The others of its paths, texts that didn't become the type, numbers of
+    more digits than a double keeps, nulls and paths of no column are in `rest`, so no leaf is lost.
     """
     rows = maps.where("fields is not null")
-    texts: dict[str, Column] = {n: F.coalesce(*[F.try_element_at("fields", F.lit(p))["value"] for p in paths]) for n, _, paths in columns}
-    rows = rows.withColumns({f"_t_{n}": c for n, c in texts.items()})
+    there = lambda p: F.try_element_at("fields", p)["value"].isNotNull()
+    rows = rows.withColumns({f"_p_{n}": F.get(F.filter(F.array(*[F.lit(p) for p in paths]), there), 0) for n, _, paths in columns})
+    rows = rows.withColumns({f"_t_{n}": F.try_element_at("fields", F.col(f"_p_{n}"))["value"] for n, _, _ in columns})
     rows = rows.withColumns({f"_c_{n}": F.col(f"_t_{n}").try_cast(kind) for n, kind, _ in columns})
     failed = F.array_compact(F.array(*[F.when(F.col(f"_t_{n}").isNotNull() & F.col(f"_c_{n}").isNull(), F.lit(n)) for n, _, _ in columns]))
-    return rows.select("conf_id", "sample_id", "written_at", *[F.col(f"_c_{n}").alias(n) for n, _, _ in columns], failed.alias("failed_casts"))
+    whole = lambda n, kind: F.col(f"_c_{n}").isNotNull() & ((F.length(f"_t_{n}") <= 15) if kind == "double" else F.lit(True))
+    rows = rows.withColumn("_carried", F.array_compact(F.array(*[F.when(whole(n, kind), F.col(f"_p_{n}")) for n, kind, _ in columns])))
+    left = F.filter(F.map_entries("fields"), lambda e: ~F.array_contains("_carried", e["key"]))
+    rest = F.array_sort(F.transform(left, lambda e: F.struct(e["key"].alias("path"), e["value"]["type"].alias("type"), e["value"]["value"].alias("value"))))
+    return rows.select(*_KEYS, *[F.col(f"_c_{n}").alias(n) for n, _, _ in columns], failed.alias("failed_casts"), rest.alias("rest"))
 
 
 def changes(maps: DataFrame, group: str = "sample_id", order: tuple[str, ...] = ("written_at", "conf_id")) -> DataFrame:

@@ -41,7 +41,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_drift.project_fields(schema_drift.drift_tables(load(spark, sf_dir, "conf_files")))
+    maps = schema_drift.drift_tables(load(spark, sf_dir, "conf_files"))
+    return schema_drift.project_fields(maps, schema_drift.resolved_columns(maps))
 
 
 def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
