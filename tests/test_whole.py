@@ -2,10 +2,12 @@
 
 import json
 import os
+import random
 
 import pytest
 
 import __spark_entry__ as entry
+from volspark.operators import admin
 from volspark.operators import schema_drift as sd
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +48,22 @@ def test_table_of_p5_has_every_leaf(spark):
         left = {x.path for x in r["rest"]}
         for path, leaf in fields[r.conf_id].items():
             assert path in left or (leaf.value is not None and any(path in ps and r[n] is not None for n, ps in columns.items())), (r.conf_id, path)
+
+
+def test_tally_runs_in_blocks(spark):
+    random.seed(3)
+    rows = [(i * 3 - 20, random.choice([None, *range(i // 4 + 1)])) for i in range(120)]
+    shown, most = {}, None
+    for o, d in rows:
+        most = d if most is None else most if d is None else max(most, d)
+        shown[o] = 25 if most is None else min(most, 25)
+    events = spark.createDataFrame(rows, "ord bigint, done int")
+    for block in (7, 4096):
+        assert {r.ord: r.shown for r in admin.tally(events, 25, block).collect()} == shown
+    plan = admin.tally(events, 25)._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(_block" in plan and "windowspecdefinition(ord" not in plan
+
+
+@needs_data
+def test_tally_of_every_part(spark):
+    assert entry.queries()["progress_tally_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ordering import running_max
+
 GIB = 1 << 30
 
 
@@ -182,9 +184,9 @@ def usage_summary(samples: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def tally(events: DataFrame, total: int) -> DataFrame:
-    """Completions so far, never falling and never above the total. events: ord, done."""
-    return events.withColumn("shown", F.least(F.max("done").over(W.orderBy("ord").rowsBetween(W.unboundedPreceding, 0)), F.lit(total)))
+def tally(events: DataFrame, total: int, block: int = 4096) -> DataFrame:
+    """Completions so far, never falling and never above the total. events: ord (a whole number), done. A window covers `block` numbers of ord."""
+    return running_max(events, "ord", F.floor(F.col("ord") / block), "done", "shown").withColumn("shown", F.least("shown", F.lit(total)))
 
 
 # selections --------------------------------------------------------------------------------------------------------

@@ -40,3 +40,16 @@ def running_total(df: DataFrame, group: list[str], order: str, block: Column, va
     placed = rows.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in values})
     joined = placed.join(sums, [*group, "_block"]).withColumns({n: F.col(f"_b_{n}") + F.col(f"_i_{n}") for n in values})
     return joined.drop("_block", *[f"_{x}_{n}" for n in values for x in "vbi"])
+
+
+def running_max(df: DataFrame, order: str, block: Column, value: str, name: str) -> DataFrame:
+    """The largest `value` of the rows up to and including each row, null before the first that isn't null.
+
+    As in `running_total`, `block` must not fall along `order`: a window covers one block, and one row for each block gives what lies before.
+    """
+    rows = df.withColumn("_block", block)
+    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    most = rows.groupBy("_block").agg(F.max(value).alias("_m")).select(F.col("_block").alias("_at"), F.max("_m").over(before).alias("_b"))
+    inside = W.partitionBy("_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    placed = rows.withColumn("_i", F.max(value).over(inside))
+    return placed.join(most, F.col("_block").eqNullSafe(F.col("_at"))).withColumn(name, F.greatest("_b", "_i")).drop("_block", "_at", "_b", "_i")
