@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -11,6 +12,7 @@ from volspark.operators import admin
 from volspark.operators import schema_drift as sd
 
 SF = "/root/testdata/sf0.001"
+LONGER = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
@@ -67,3 +69,13 @@ def test_tally_runs_in_blocks(spark):
 @needs_data
 def test_tally_of_every_part(spark):
     assert entry.queries()["progress_tally_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+@needs_data
+@pytest.mark.skipif(not os.path.isdir(LONGER), reason="no test data")
+def test_every_plane_is_corrected(spark):
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from '{LONGER}/events.parquet'")
+    want = {tuple(r[:3]): r[3] for r in duck.sql(entry.oracle_sql()["flatfield_correct_whole"]).fetchall()}
+    got = {tuple(r[:3]): r[3] for r in entry.queries()["flatfield_correct_whole"](spark, LONGER).select("z", "y", "x", "v").collect()}
+    assert got == pytest.approx(want, abs=2e-6) and len({z for z, _, _ in got}) == 100

@@ -101,6 +101,15 @@ def flatfield_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("z", "y", "x", L.flatfield(F.col("v"), L.crossfade(F.col("pre"), F.col("post"), F.col("z") / 10), F.lit(0.1)).alias("v")))
 
 
+@query(_PAIR + ", n as (select max(z) + 1 as n from v) select z, y, x, round((v - 0.1) / greatest(exp((1 - z / n) * ln(pre) + z / n * ln(post)) - 0.1, 1e-6), 6) as v from v join g using (y, x), n")
+def flatfield_correct_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`flatfield_correct`, whose SQL is kept at 10 planes, over every plane of the series."""
+    v = views.voxels(spark, sf_dir)
+    rows = v.join(F.broadcast(_pair(v)), ["y", "x"])
+    share = F.col("z") / max(1, V.shape(v)[0])
+    return rounded(rows.select("z", "y", "x", L.flatfield(F.col("v"), L.crossfade(F.col("pre"), F.col("post"), share), F.lit(0.1)).alias("v")))
+
+
 @query(
     "with t as (select distinct event_id // 100 + 0.25 as t from events), k as (select i, i * 2.5 as b from (select cast(unnest(range(4)) as int) as i)), "
     "x as (select t, least(greatest((select count(*) from k where b < t) - 1, 0), 2) as k from t) select cast(t as double) as t, cast(k as int) as k, round((t - k * 2.5) / 2.5, 6) as w from x"
