@@ -3,13 +3,18 @@
 import json
 import os
 import random
+import sys
+import types
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from volspark import cli
 from volspark.operators import admin
 from volspark.operators import schema_drift as sd
+from volspark.sources import optional
 
 SF = "/root/testdata/sf0.001"
 LONGER = "/root/testdata/sf0.01"
@@ -79,3 +84,46 @@ def test_every_plane_is_corrected(spark):
     want = {tuple(r[:3]): r[3] for r in duck.sql(entry.oracle_sql()["flatfield_correct_whole"]).fetchall()}
     got = {tuple(r[:3]): r[3] for r in entry.queries()["flatfield_correct_whole"](spark, LONGER).select("z", "y", "x", "v").collect()}
     assert got == pytest.approx(want, abs=2e-6) and len({z for z, _, _ in got}) == 100
+
+
+class FakeDataset:
+    """As much of an HDF5 dataset as the source asks for."""
+
+    attrs: dict = {}
+
+    def __init__(self, n):
+        self.a = np.arange(n)
+        self.size, self.shape, self.dtype = self.a.size, self.a.shape, self.a.dtype
+
+    def __getitem__(self, _):
+        return self.a
+
+
+class FakeFile:
+    def __init__(self, path):
+        pass
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+    def visititems(self, visit):
+        visit("g", types.SimpleNamespace(attrs={}))
+        for k in range(9):
+            visit(f"g/d{k}", FakeDataset(100))
+        visit("h", FakeDataset(100))
+
+
+def test_values_and_nodes_of_an_asked_path_are_whole(spark, monkeypatch, capsys):
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(Dataset=FakeDataset, File=FakeFile))
+    read = lambda **o: {r[1]: r for r in optional.H5Reader({"path": "f.h5", **o}).read(optional.OneFile("f.h5"))}
+    rows = read(select="/g/", maxvalues="0")
+    assert rows["g/d8"][6] == str(list(range(100))) and rows["h"][6] is None
+    assert read(select="/", maxvalues="0")["h"][6] and not read(select="g", maxvalues="99")["g/d0"][6] and not read()["g/d0"][6]
+    nodes = spark.createDataFrame(list(rows.values()), optional.H5Nodes({}).schema())
+    assert cli.tree_rows(nodes, "/g/", 0).count() == 10 and cli.tree_rows(nodes, "/g/", 0).where("value is not null").count() == 9
+    assert cli.tree_rows(nodes, "", 16).count() == 4
+    cli.print_rows(nodes.crossJoin(spark.range(120)).select("path"))
+    assert len(capsys.readouterr().out.splitlines()) == 11 * 120 + 1

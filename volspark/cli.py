@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import csv
 import sys
 from collections.abc import Callable
 
@@ -60,6 +61,13 @@ def save(df: DataFrame, target: str, dtype: str, execute: bool, compression: str
     rows.write.format("tiffstack").mode("overwrite").option("path", target).option("compression", compression).save()
 
 
+def print_rows(rows: DataFrame) -> None:
+    """Every row, separated by tabs below the names of the columns."""
+    out = csv.writer(sys.stdout, delimiter="\t", lineterminator="\n")
+    out.writerow(rows.columns)
+    out.writerows(rows.toLocalIterator())
+
+
 def dtype_of(p: DataFrame) -> str:
     kinds = [r[0] for r in p.select("dtype").distinct().limit(2).collect()]
     if len(kinds) != 1:
@@ -239,10 +247,17 @@ def sync_plan(spark: SparkSession, a: argparse.Namespace) -> None:
     admin.sync_summary(admin.sync_plan(local, spark.read.parquet(a.remote))).show()
 
 
+def tree_rows(nodes: DataFrame, path: str, max_values: int) -> DataFrame:
+    """The nodes in order, crowded groups collapsed; of an asked path all that lies below."""
+    rows = metadata.select_path(nodes, path, max_values)
+    return (rows if path else metadata.collapsed(rows)).sort("file", "visit")
+
+
 @task("als832", "h5-tree", IN, ("--path", {"default": ""}), ("--max-values", {"type": int, "default": 16}))
 def h5_tree(spark: SparkSession, a: argparse.Namespace) -> None:
     optional.register(spark)
-    metadata.collapsed(metadata.select_path(spark.read.format("h5nodes").load(a.source), a.path, a.max_values)).sort("file", "visit").show(1000, truncate=False)
+    nodes = spark.read.format("h5nodes").options(select=a.path, maxValues=a.max_values).load(a.source)
+    print_rows(tree_rows(nodes, a.path, a.max_values))
 
 
 def parser() -> argparse.ArgumentParser:

@@ -40,6 +40,7 @@ class OneFile(InputPartition):
 class H5Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.paths = options["path"].split(",")
+        self.select, self.most = options.get("select", ""), int(options.get("maxvalues", 0))
 
     def partitions(self) -> list[InputPartition]:
         return [OneFile(p) for p in inputs(self.paths, (".h5", ".hdf5", ".he5"))]
@@ -47,10 +48,12 @@ class H5Reader(DataSourceReader):
     def read(self, p: OneFile) -> Iterator[tuple]:
         h5py = need("h5py", "reading HDF5 files")
         rows = []
+        asked, below = bool(self.select), self.select.strip("/")
 
         def visit(path: str, node) -> None:  # noqa: ANN001
             data = isinstance(node, h5py.Dataset)
-            small = data and node.size is not None and node.size <= 64
+            most = self.most if asked and (not below or path == below or path.startswith(below + "/")) else 64
+            small = data and node.size is not None and (most == 0 or node.size <= most)
             value = str(np.asarray(node[()]).tolist()) if small else None
             attrs = {k: str(v) for k, v in node.attrs.items()}
             rows.append((p.path, path, path.rpartition("/")[0], "dataset" if data else "group", list(map(int, node.shape)) if data else None, str(node.dtype) if data else None, value, len(rows), attrs))
@@ -61,7 +64,10 @@ class H5Reader(DataSourceReader):
 
 
 class H5Nodes(DataSource):
-    """`path`: files or directories, separated by commas. The rows are those that `operators.metadata` works on."""
+    """`path`: files or directories, separated by commas. The rows are those that `operators.metadata` works on.
+
+    Values of datasets of at most 64 elements are read; of those at or below `select`, a path in the files, up to `maxValues` elements (0: all).
+    """
 
     @classmethod
     def name(cls) -> str:
