@@ -127,3 +127,13 @@ def test_values_and_nodes_of_an_asked_path_are_whole(spark, monkeypatch, capsys)
     assert cli.tree_rows(nodes, "", 16).count() == 4
     cli.print_rows(nodes.crossJoin(spark.range(120)).select("path"))
     assert len(capsys.readouterr().out.splitlines()) == 11 * 120 + 1
+
+
+def test_every_directory_is_judged(spark, tmp_path, capsys):
+    for k in range(105):
+        (tmp_path / f"job{k:03d}").mkdir()
+        (tmp_path / f"job{k:03d}" / "err-1").write_text("bad" if k == 104 else "")
+    cli.main(["parse", "find-errs", str(tmp_path)], spark)
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0] == "parent\terrored" and len(lines) == 106 and lines == [lines[0], *sorted(lines[1:])]
+    assert [x for x in lines if x.endswith("\tTrue")] == [lines[-1]] and "job104" in lines[-1]

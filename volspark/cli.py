@@ -238,7 +238,7 @@ def build_mesh(spark: SparkSession, a: argparse.Namespace) -> None:
 
 @task("parse", "find-errs", IN, ("--pattern", {"default": "err%"}))
 def find_errs(spark: SparkSession, a: argparse.Namespace) -> None:
-    admin.classify_errors(spark.read.format("filetree").load(a.source), a.pattern).sort("parent").show(100, truncate=False)
+    print_rows(admin.classify_errors(spark.read.format("filetree").load(a.source), a.pattern).sort("parent"))
 
 
 @task("transport", "sync-plan", IN, ("remote", {"help": "table of key, size, meta_size, meta_mtime_ns"}), ("--prefix", {"default": ""}))
