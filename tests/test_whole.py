@@ -12,7 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 from volspark import cli
-from volspark.operators import admin
+from volspark.operators import admin, metadata
 from volspark.operators import schema_drift as sd
 from volspark.sources import optional
 
@@ -137,3 +137,19 @@ def test_every_directory_is_judged(spark, tmp_path, capsys):
     lines = capsys.readouterr().out.splitlines()
     assert lines[0] == "parent\terrored" and len(lines) == 106 and lines == [lines[0], *sorted(lines[1:])]
     assert [x for x in lines if x.endswith("\tTrue")] == [lines[-1]] and "job104" in lines[-1]
+
+
+def test_frames_without_a_usable_mean_count(spark):
+    nan, rows = float("nan"), []
+    rows += [("a", "white", 10.0, 0.0, 0.0), ("a", "white", 12.0, 0.0, None), ("a", "white", nan, 0.0, 0.0), ("a", "white", -1e301, None, 3.0), ("a", "dark", None, 0.0, 0.0)]
+    rows += [("b", "white", float("inf"), 0.0, 0.0), ("b", "dark", nan, 0.0, 0.0)]
+    stats = spark.createDataFrame(rows, "source_file string, type string, mean double, i0_move_x double, i0_move_y double")
+    got = {tuple(r) for r in metadata.file_report(stats).collect()}
+    assert got == {("a", 4, 1, 2 / 11, False), ("b", 1, 1, None, True)}
+
+
+@needs_data
+def test_report_counts_every_frame(spark):
+    for name, frames in (("white", "whites"), ("dark", "darks")):
+        want = spark.read.parquet(f"{SF}/frame_manifest.parquet").where(f"type = '{name}'").count()
+        assert entry.queries()["reference_report_whole"](spark, SF).agg({frames: "sum"}).first()[0] == want

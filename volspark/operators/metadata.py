@@ -72,8 +72,11 @@ def script_options(script: Column) -> Column:
 
 
 def file_report(stats: DataFrame) -> DataFrame:
-    """For each file of frame statistics (source_file, type, mean, i0_move_x, i0_move_y): counts, spread of the white means, whether the stage never moved."""
-    white = F.when(F.col("type") == "white", F.col("mean"))
+    """For each file of frame statistics (source_file, type, mean, i0_move_x, i0_move_y): counts, spread of the white means, whether the stage never moved.
+
+    Frames count and tell of moves whatever their mean; the spread passes over means that are null, NaN or 1e300 and more.
+    """
+    white = F.when((F.col("type") == "white") & ~F.isnan("mean") & (F.abs("mean") < 1e300), F.col("mean"))
     moved = F.coalesce(F.abs("i0_move_x"), F.lit(0.0)) + F.coalesce(F.abs("i0_move_y"), F.lit(0.0))
     return stats.groupBy("source_file").agg(
         F.count_if(F.col("type") == "white").alias("whites"), F.count_if(F.col("type") == "dark").alias("darks"),

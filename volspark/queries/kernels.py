@@ -87,6 +87,15 @@ def reference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.file_report(m).withColumn("spread", F.round("spread", 6))
 
 
+@query(
+    "with m as (select source_file, type, case when not isnan(mean) and abs(mean) < 1e300 then mean end as mean, i0_move_x, i0_move_y from frame_manifest) select source_file, count(*) filter (where type = 'white') as whites, count(*) filter (where type = 'dark') as darks, "
+    "round((max(mean) filter (where type = 'white') - min(mean) filter (where type = 'white')) / avg(mean) filter (where type = 'white'), 6) as spread, max(coalesce(abs(i0_move_x), 0) + coalesce(abs(i0_move_y), 0)) = 0 as zero_move from m group by source_file"
+)
+def reference_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`reference_report`, whose SQL is kept at frames with a usable mean, over every frame."""
+    return metadata.file_report(load(spark, sf_dir, "frame_manifest")).withColumn("spread", F.round("spread", 6))
+
+
 @query(
     "with s as (select event_type as stage, ts, value, event_id % 64 as p, case when ts - lag(ts) over w >= interval 20 minutes then 1 else 0 end as cut from events window w as (partition by event_type order by ts)), "
     "g as (select *, sum(cut) over (partition by stage order by ts rows unbounded preceding) as g from s) select stage, min(ts) as began, max(ts) + interval 20 minutes as ended, max(value) as peak, max(p) as most_processes, count(*) as samples from g group by stage, g"
