@@ -153,3 +153,20 @@ def test_report_counts_every_frame(spark):
     for name, frames in (("white", "whites"), ("dark", "darks")):
         want = spark.read.parquet(f"{SF}/frame_manifest.parquet").where(f"type = '{name}'").count()
         assert entry.queries()["reference_report_whole"](spark, SF).agg({frames: "sum"}).first()[0] == want
+
+
+@needs_data
+@pytest.mark.skipif(not os.path.isdir(LONGER), reason="no test data")
+def test_every_block_has_an_id_of_its_own(spark):
+    def code(at, grid):
+        out = k = 0
+        for bit in range(max(grid).bit_length()):
+            for a, n in zip(at, grid):
+                if n - 1 >> bit:
+                    out |= (a >> bit & 1) << k
+                    k += 1
+        return out
+
+    got = {(r.bx, r.by, r.bz): (r.id, r.shard) for r in entry.queries()["shard_ids_whole"](spark, LONGER).collect()}
+    want = {at: code(at, (3, 3, 25)) for at in np.ndindex(3, 3, 25)}
+    assert got == {at: (i, i >> 4) for at, i in want.items()} and len({i for i, _ in got.values()}) == 225

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import admin as A
 from ..operators import flats, metadata
 from ..operators import layers as Y
+from ..operators import volume as V
 from ..session import load
 from ..sources import sharded
 from .volume import _V, rounded
@@ -230,6 +231,20 @@ def shard_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("shard", sharded.shard_of(F.col("id"), (2, 2, 2)))
 
 
+@query(
+    f"with {_V}, b as (select distinct x // 4 as i, y // 4 as j, z // 4 as k from v), "
+    "c as (select *, cast((i & 1) + (j & 1) * 2 + (k & 1) * 4 + (i >> 1) * 8 + (j >> 1) * 16 + ((k >> 1) & 1) * 32 + (k >> 2) * 64 as bigint) as id from b) select i as bx, j as by, k as bz, id, id // 16 as shard from c"
+)
+def shard_ids_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`shard_ids`, whose SQL is kept at a grid 4 deep, for every block of the volume; 16 chunks a shard and 4 a minishard, as there."""
+    v = views.voxels(spark, sf_dir)
+    grid = tuple(-(-n // 4) for n in reversed(V.shape(v)))
+    at = lambda c: F.floor(F.col(c) / 4).cast("int")
+    b = v.select(at("x").alias("bx"), at("y").alias("by"), at("z").alias("bz")).distinct()
+    rows = b.withColumn("id", sharded.chunk_id(grid, F.col("bx"), F.col("by"), F.col("bz")))
+    return rows.withColumn("shard", sharded.shard_of(F.col("id"), sharded.shard_bits(grid, 16, 4)))
+
+
 # numbers -----------------------------------------------------------------------------------------------------------
 @query("with e as (select vec_id // 20 as z, vec_id % 20 as y, p - 1 as x, cast(embedding[p] as double) as v from (select *, unnest(generate_series(1, len(embedding))) as p from embeddings)), m as (select z, median(v) as m from e where v > 0 group by z) select cast(z as int) as z, cast(y as int) as y, cast(x as int) as x, round(case when v > 0 then v else m end, 6) as v from e join m using (z)")
 def clean_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
