@@ -170,3 +170,10 @@ def test_every_block_has_an_id_of_its_own(spark):
     got = {(r.bx, r.by, r.bz): (r.id, r.shard) for r in entry.queries()["shard_ids_whole"](spark, LONGER).collect()}
     want = {at: code(at, (3, 3, 25)) for at in np.ndindex(3, 3, 25)}
     assert got == {at: (i, i >> 4) for at, i in want.items()} and len({i for i, _ in got.values()}) == 225
+
+
+@needs_data
+@pytest.mark.skipif(not os.path.isdir(LONGER), reason="no test data")
+def test_ranges_of_planes_make_up_the_whole(spark):
+    got, want = (sorted(map(tuple, entry.queries()[q](spark, LONGER).select("z", "y", "x", "v").collect())) for q in ("mip_z_ranges", "mip_z"))
+    assert got == want and len(got) == 9800

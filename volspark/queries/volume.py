@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -282,6 +284,17 @@ def mip_z_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.sliding_max(views.voxels(spark, sf_dir, planes=(3, 8)), "z", 3)
 
 
+@query(_mip_sql("z", 3))
+def mip_z_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `mip_z`, in up to eight consecutive ranges of output planes, each from the input planes it needs; the SQL of `mip_z_planes` is kept at one range."""
+    depth = V.shape(views.voxels(spark, sf_dir))[0]
+    s = spec.PipelineSpec(mip=3)
+    out = max(0, s.output_depth(depth))
+    step = max(1, -(-out // 8))
+    ranges = [s.input_range(a, min(a + step, out), depth) for a in range(0, out, step)] or [(0, depth)]
+    return reduce(DataFrame.unionByName, [V.sliding_max(views.voxels(spark, sf_dir, planes=r), "z", 3) for r in ranges])
+
+
 @query(
     _PIPE
     + "g as (select z, 0.4 * (max(max(v)) over w - min(min(v)) over w) as gap from c group by z window w as (order by z rows between 1 preceding and 1 following)), "
