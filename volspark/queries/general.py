@@ -36,6 +36,14 @@ def p4_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan carried out and read back; as the inventory has no contents, each file's is the text of its checksum."""
+    contents = load(spark, sf_dir, "slice_files").select("file_id", F.encode(F.coalesce(F.col("content_crc").cast("string"), F.lit("none")), "UTF-8").alias("content"))
+    packs = compactor.Containers(spark, scratch(spark, "packs"))
+    packs.write(compactor.compact_inventory(spark, f"{sf_dir}/slice_files.parquet"), contents)
+    return packs.read().select("stack_id", "slice_no", "container", F.decode("content", "UTF-8").alias("content"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.changes(schema_drift.drift_tables(load(spark, sf_dir, "conf_files")))
 
@@ -110,7 +118,7 @@ union all select conf_id, field, 'added' from come c where not exists (select 1
 union all select p.conf_id, n.field, 'type_changed' from pair p join leaf n on n.conf_id = p.conf_id join leaf o on o.conf_id = p.old and o.field = n.field where n.kind <> o.kind and n.kind <> 'null' and o.kind <> 'null'"""
 )
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_containers, p5_found, p5_table, p5_paths)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_containers, p4_contents, p5_found, p5_table, p5_paths)}
 
 SQL = {
     "p2_found": _p2_sql(),
@@ -148,6 +156,13 @@ with f as (select stack_id, try_cast(nullif(regexp_extract(output_name, '([0-9]+
            from slice_files where size > 0 and stack_id is not null and output_name is not null)
 select stack_id, slice_no from (select * from f where slice_no is not null
   qualify row_number() over (partition by stack_id, slice_no order by written_at desc nulls last, file_id desc) = 1) where size < 1048576""",
+    "p4_contents": r"""
+with f as (select stack_id, try_cast(nullif(regexp_extract(output_name, '([0-9]+)\.[tT][iI][fF][fF]?$', 1), '') as bigint) as slice_no, size, written_at, file_id, content_crc
+           from slice_files where size > 0 and stack_id is not null and output_name is not null),
+s as (select stack_id, slice_no, size, content_crc from (select * from f where slice_no is not null
+  qualify row_number() over (partition by stack_id, slice_no order by written_at desc nulls last, file_id desc) = 1) where size < 1048576),
+c as (select *, coalesce(sum(size) over (partition by stack_id order by slice_no rows between unbounded preceding and 1 preceding), 0) as before from s)
+select stack_id, slice_no, cast(before // (134217728 - 1048576) as bigint) as container, coalesce(cast(content_crc as varchar), 'none') as content from c""",
     "p4_containers": r"""
 with f as (select stack_id, try_cast(nullif(regexp_extract(output_name, '([0-9]+)\.[tT][iI][fF][fF]?$', 1), '') as bigint) as slice_no, size, written_at, file_id
            from slice_files where size > 0 and stack_id is not null and output_name is not null),

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -33,11 +34,13 @@ def local_session(cpus: int = 8, app: str = "volspark", **conf: str) -> SparkSes
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` of the session.
 
-    Only where that setting is absent (single-machine tests) a temporary folder is made.
+    Where that setting is absent, a temporary folder is made on a local master; on a cluster each machine would have its own, so that raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="volspark-")
@@ -88,9 +91,9 @@ class Files:
     """Hadoop file-system calls, so that any store the cluster mounts will do."""
 
     def __init__(self, spark: SparkSession, path: str):
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm, self._gateway, self._conf = spark.sparkContext._jvm, spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self.fs = self._path(path).getFileSystem(self._conf)
 
     def names(self, path: str) -> list[str]:
         p = self._path(path)
@@ -106,8 +109,51 @@ class Files:
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(path), True)
 
-    def rename(self, old: str, new: str) -> bool:
-        return self.fs.rename(self._path(old), self._path(new))
+    def size(self, path: str) -> int:
+        return self.fs.getFileStatus(self._path(path)).getLen()
+
+    def read_text(self, path: str) -> str:
+        stream = self.fs.open(self._path(path))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write_text(self, path: str, text: str) -> None:
+        stream = self.fs.create(self._path(path), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def publish(self, path: str, text: str) -> bool:
+        """Create a file with all of its text at once; False, and nothing changed, if there is one.
+
+        The text goes to a file of a name of its own, which is then linked (local) or renamed without overwriting, as Spark commits its
+        streams' logs; of several writers one succeeds.
+        """
+        above, _, name = path.rpartition("/")
+        new = f"{above}/.{name}.{uuid.uuid4().hex}"
+        self.write_text(new, text)
+        try:
+            if self.fs.getScheme() == "file":
+                try:
+                    os.link(self._path(new).toUri().getPath(), self._path(path).toUri().getPath())
+                except FileExistsError:
+                    return False
+                return True
+            none = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+            how = self._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+            how[0] = none
+            try:
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(new).toUri(), self._conf).rename(self._path(new), self._path(path), how)
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                    return False
+                raise
+            return True
+        finally:
+            self.delete(new)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
