@@ -1,28 +1,38 @@
 """Implausible readings in series of frame statistics.
 
-Bounds find impossible readings, runs of zero detail find a stuck detector, and Haar details of two levels, scaled by each
-source's own median detail, propose spikes. A proposal counts as a spike if the frame stands off the level on both sides by
-more than `times` the source's ordinary scatter, for at most `longest` frames in a row.
-
-Series are cut into chunks of frames that overlap by HALO, so a source may hold any share of the rows.
+Each series is taken apart by undecimated wavelets: Haar details x[i] - x[i + s] and second-order details x[i] - (x[i-s] + x[i+s]) / 2, which no
+slow drift enters, at the dilations s = 1, 2 and 3. The median absolute second-order detail gives a source's scatter (of a source of many chunks, the
+median of the chunks' medians, each counted once for every 64 of its frames). A frame is a spike where
+Haar details to both sides exceed `times` that scatter with one sign, over dilations that leave at most `longest` frames between them; so neither a step
+of level nor a longer run is one. Beside a spike the details point both ways (the ordinary frame between two spikes stands off both), so the
+frame must also stand off most of those around it, by half of that. Runs of zero detail find a stuck detector, bounds find impossible readings.
+
+How far the details of a frame reach doesn't depend on the scatter: one pass gives what each frame's details exceed and each chunk's median detail,
+the scatter is an aggregate of those, and thresholds are set on the join of both. That pass runs in NumPy over Arrow batches of sorted partitions, as windows of
+so many shifted columns make methods that the JVM doesn't compile. Series are cut into chunks of frames that overlap by HALO, so a source may hold any share
+of the rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..functions.batches import starts, whole_groups
 from ..session import written
 from .ordering import running_total
 
 FIELDS = ["mean", "min", "max"]
 SOURCE = ["source_file", "type"]
-CHUNK, HALO, SIDE = 1024, 128, 9
-#: A step of TIMES scatters shows at least TIMES / sqrt(2) detail scatters; half of that leaves room for the noise of both.
-TIMES, LONGEST, STUCK, PROPOSE = 10.0, 3, 5, 3.5
+CHUNK, HALO, SIDE = 1024, 32, 9
+TIMES, LONGEST, STUCK = 10.0, 3, 5
 #: A median absolute deviation times this is a normal distribution's standard deviation.
 MAD = 1.4826
 
@@ -31,10 +41,13 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def frames_of(manifest: DataFrame) -> DataFrame:
+def frames_of(manifest: DataFrame, with_: list[str] | None = None) -> DataFrame:
     """One row for each frame: null statistics are none, repeated extractions count once (the last by `extracted_at`, `row_id`)."""
     rows = manifest.where(" and ".join(f"`{c}` is not null" for c in [*SOURCE, "index", *FIELDS]))
-    return rows.groupBy(*SOURCE, "index").agg(F.max(F.struct("extracted_at", "row_id", *FIELDS)).alias("s")).select(*SOURCE, "index", *[f"s.{f}" for f in FIELDS])
+    keys = [*SOURCE, *(with_ or []), "index"]
+    # a window, as the places that follow need the same order, and an aggregate of structs would sort too
+    last = W.partitionBy(*keys).orderBy(F.desc_nulls_last("extracted_at"), F.desc_nulls_last("row_id"))
+    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").select(*keys, *FIELDS)
 
 
 def impossible(lowest: float = 0, highest: float = 65535) -> Column:
@@ -43,80 +56,111 @@ def impossible(lowest: float = 0, highest: float = 65535) -> Column:
     return ~finite | (least < lowest) | (most > highest) | (least > most) | (mean < least) | (mean > most)
 
 
-def _median(values: Column) -> Column:
-    """Of an array; null of an empty one."""
-    s, n = F.array_sort(values), F.size(values)
-    return F.when(n > 0, (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2)
+def _around(x: np.ndarray, group: np.ndarray, reach: int) -> np.ndarray:
+    """The values up to `reach` places before and after each, NaN beyond the ends of its group; the own value is in the middle."""
+    n, shifts = len(x), np.arange(-reach, reach + 1)
+    at = np.arange(n)[:, None] + shifts
+    safe = np.clip(at, 0, n - 1)
+    return np.where((at == safe) & (group[safe] == group[:, None]), x[safe], np.nan)
+
 
+def second_order(around: np.ndarray, s: int) -> np.ndarray:
+    """Undecimated second-order detail at dilation s, of the deviation of its input; NaN where a side is missing."""
+    c = around.shape[1] // 2
+    return np.abs(around[:, c] - (around[:, c - s] + around[:, c + s]) / 2) / np.sqrt(1.5)
 
-def _levels(df: DataFrame, order, skip: dict[str, Column]) -> DataFrame:  # noqa: ANN001
-    """Median of the SIDE frames before and after and of both, of each field, without the frames to skip."""
-    cols = {}
-    for f in FIELDS:
-        value = F.when(~skip[f], F.col(f).cast("double")) if f in skip else F.col(f).cast("double")
-        sides = [F.collect_list(value).over(order.rowsBetween(*x)) for x in ((-SIDE, -1), (1, SIDE))]
-        cols |= {f"_a_{f}": sides[0], f"_b_{f}": sides[1]}
-    df = df.withColumns(cols)
-    out = {}
-    for f in FIELDS:
-        a, b = F.col(f"_a_{f}"), F.col(f"_b_{f}")
-        out |= {f"_before_{f}": F.when(F.size(a) >= LONGEST, _median(a)), f"_after_{f}": F.when(F.size(b) >= LONGEST, _median(b)), f"_level_{f}": _median(F.concat(a, b))}
-    return df.withColumns(out).drop(*cols)
 
+def reach_of_details(around: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(how far, sign): what the Haar details to both sides exceed with one sign, at best over dilations a and b with a + b <= longest + 1.
 
-def _off(f: str) -> Column:
-    """How far a frame stands off the levels before and after it; 0 if it agrees with either or lies between."""
-    x = F.col(f).cast("double")
-    a, b = x - F.coalesce(f"_before_{f}", f"_after_{f}", f"_level_{f}"), x - F.coalesce(f"_after_{f}", f"_before_{f}", f"_level_{f}")
-    return F.coalesce(F.when(a * b > 0, F.least(F.abs(a), F.abs(b))), F.lit(0.0))
+    Beyond an end of the series there is no detail, and the other side decides; 0 where no two details have one sign.
+    """
+    c = around.shape[1] // 2
+    details = around[:, [c]] - around
+    best, sign = np.zeros(len(around)), np.zeros(len(around))
+    for s in (1.0, -1.0):
+        d = np.where(np.isnan(details), np.inf, s * details)
+        before, after = (np.maximum.accumulate(d[:, k], axis=1) for k in (range(c - 1, c - longest - 1, -1), range(c + 1, c + longest + 1)))
+        far = np.max([np.minimum(before[:, a], after[:, longest - 1 - a]) for a in range(longest)], axis=0)
+        better = np.isfinite(far) & (far > best)
+        best, sign = np.where(better, far, best), np.where(better, s, sign)
+    return best, sign
+
+
+def off_most(around: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """How far, in the direction of `sign`, a value stands off more than half of those around it."""
+    c = around.shape[1] // 2
+    others = np.delete(around, c, axis=1)
+    d = np.sort(np.where(np.isnan(others), np.inf, -sign[:, None] * (around[:, [c]] - others)), axis=1)
+    half = (~np.isnan(others)).sum(axis=1) // 2
+    return -d[np.arange(len(d)), np.minimum(half, d.shape[1] - 1)]
+
+
+def _median(details: np.ndarray) -> float:
+    there = details[~np.isnan(details)]
+    return float(np.median(there)) if len(there) else float("nan")
+
+
+def _decomposed(placed: DataFrame, longest: int, stuck: int) -> DataFrame:
+    """Each frame with `_reach_{f}` of its Haar details and `_off_{f}` from most frames around, and on one frame of each chunk the
+    median second-order detail `_half_{f}` of the chunk's ordinary frames and their number `_frames`."""
+    numbers = [f"_{k}_{f}" for f in FIELDS for k in ("reach", "off", "half")] + ["_frames"]
+    keep = [*SOURCE, "index"]
+    out = T.StructType([*[placed.schema[c] for c in [*keep, "_bad"]], T.StructField("_stuck", T.BooleanType()), *[T.StructField(c, T.DoubleType()) for c in numbers]])
+    group = [*SOURCE, "_chunk"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, group):
+            first = starts(t, group)
+            groups = np.cumsum(first)
+            values = {f: t.column(f).to_numpy().astype(float) for f in FIELDS}
+            with np.errstate(invalid="ignore"):
+                zero = ~first
+                for x in values.values():
+                    zero[1:] &= np.diff(x) == 0
+            run_of = np.cumsum(~zero)
+            is_stuck = np.bincount(run_of)[run_of] >= stuck
+            good = np.flatnonzero(~t.column("_bad").to_numpy())
+            columns = {c: np.full(t.num_rows, np.nan) for c in numbers}
+            own = t.column("_own").to_numpy() == t.column("_chunk").to_numpy()
+            mine = own[good]
+            # where each chunk's own ordinary frames begin in `good[mine]`, and on which frame its figures stand
+            _, begin = np.unique(groups[good][mine], return_index=True)
+            stand = good[mine][begin]
+            columns["_frames"][stand] = np.diff([*begin, mine.sum()])
+            for f in FIELDS:
+                around = _around(values[f][good], groups[good], SIDE)
+                details = np.stack([second_order(around[mine], s) for s in range(1, longest + 1)], axis=1)
+                columns[f"_half_{f}"][stand] = [_median(d) for d in np.split(details, begin[1:])] if len(begin) else []
+                far, sign = reach_of_details(around, longest)
+                there = np.flatnonzero(far > 0)
+                columns[f"_reach_{f}"][good] = far
+                columns[f"_off_{f}"][good[there]] = off_most(around[there], sign[there])
+            arrays = [t.column("_bad"), pa.array(is_stuck), *[pa.array(columns[c], from_pandas=True) for c in numbers]]
+            yield from pa.table([*[t.column(c) for c in keep], *arrays], names=[*keep, "_bad", "_stuck", *numbers]).filter(pa.array(own)).to_batches()
+
+    rows = placed.repartition(*group).sortWithinPartitions(*group, "_pos")
+    return rows.select(*keep, *FIELDS, "_bad", "_own", "_chunk").mapInArrow(run, out)
 
 
 def implausible(manifest: DataFrame, times: float = TIMES, longest: int = LONGEST, stuck: int = STUCK) -> DataFrame:
     """(source_file, type, index, why): frames whose statistics cannot be right; `why` holds `bounds`, `stuck`, `spike`.
 
     Defined results: rows with a null statistic, source, type or index are no frames; repeated rows count once; a field
-    whose ordinary scatter is 0 is off where it differs from its level at all; other columns are left out.
+    whose ordinary scatter is 0 is off where it differs from its neighbours at all; other columns are left out.
     """
-    frames = frames_of(manifest).withColumn("_bad", impossible())
-    placed = running_total(frames, SOURCE, "index", F.floor(F.col("index") / CHUNK), {"_pos": F.lit(1)})
-    chunk = F.floor(F.col("_pos") / CHUNK)
+    # one shuffle by source and block serves the repeated rows, the places and the blocks' sums
+    block = F.floor(F.col("index") / CHUNK)
+    rows = manifest.select("row_id", *SOURCE, "index", *FIELDS, "extracted_at").withColumn("_block", block).repartition(*SOURCE, "_block")
+    frames = frames_of(rows, ["_block"]).withColumn("_bad", impossible())
+    placed = running_total(frames, SOURCE, "index", F.col("_block"), {"_pos": F.lit(1)})
     near = F.array_distinct(F.array(*[F.floor((F.col("_pos") + d) / CHUNK) for d in (0, -HALO, HALO)]))
-    spread = placed.withColumn("_own", chunk).withColumn("_chunk", F.explode(near)).where("_chunk >= 0")
-    whole = W.partitionBy(*SOURCE, "_chunk").orderBy("_pos")
-    good = W.partitionBy(*SOURCE, "_chunk", "_bad").orderBy("_pos")
-
-    # zero detail in all fields: a run of `stuck` equal frames has stuck - 1 of them in a row
-    alike = F.lit(True)
-    for f in FIELDS:
-        alike = alike & F.lag(f).over(whole).eqNullSafe(F.col(f))
-    rows = spread.withColumn("_same", F.coalesce(alike, F.lit(False)).cast("int"))
-    rows = rows.withColumn("_full", (F.sum("_same").over(whole.rowsBetween(2 - stuck, 0)) == stuck - 1).cast("int"))
-    rows = rows.withColumn("_stuck", F.max("_full").over(whole.rowsBetween(0, stuck - 1)) == 1)
-
-    # undecimated Haar details: x[i] - x[i-1], and the same of pairs
-    details, names = {}, []
-    for f in FIELDS:
-        at = lambda k, f=f: F.lag(F.col(f).cast("double"), k).over(good)
-        details |= {f"_d1_{f}": (at(0) - at(1)) / F.sqrt(F.lit(2.0)), f"_d2_{f}": (at(0) + at(-1) - at(1) - at(2)) / 2}
-        names += [f"_d1_{f}", f"_d2_{f}"]
-    rows = _levels(rows.withColumns(details), good, {})
-    rows = written(rows.withColumns({f"_rest_{f}": F.col(f) - F.col(f"_level_{f}") for f in FIELDS}), "frames")
-
-    half = lambda c: F.percentile_approx(F.abs(c), 0.5, 10_000)
-    scales = rows.where("_own = _chunk and not _bad").groupBy(*SOURCE).agg(
-        *[(MAD * half(F.col(n))).alias(f"_s{n}") for n in names], *[(MAD * half(F.col(f"_rest_{f}"))).alias(f"_scatter_{f}") for f in FIELDS]
-    )
-    rows = rows.join(scales, SOURCE, "left")
-    edge = {f: any_of([F.coalesce(F.abs(n) > PROPOSE * F.col(f"_s{n}"), F.lit(False)) for n in (f"_d1_{f}", f"_d2_{f}")]).cast("int") for f in FIELDS}
-    rows = rows.withColumns({f"_edge_{f}": e for f, e in edge.items()})
-    rows = rows.withColumns({f"_near_{f}": F.max(f"_edge_{f}").over(good.rowsBetween(-longest, longest)) == 1 for f in FIELDS})
-    far = lambda f: F.col(f"_near_{f}") & (_off(f) > times * F.coalesce(f"_scatter_{f}", F.lit(0.0)))
-    rows = rows.withColumns({f"_first_{f}": far(f) for f in FIELDS})
-    # again with levels from which the frames found so far are left out
-    rows = _levels(rows, good, {f: F.col(f"_first_{f}") for f in FIELDS})
-    rows = rows.withColumns({f"_far_{f}": (far(f) | F.col(f"_first_{f}")).cast("int") for f in FIELDS})
-    rows = rows.withColumns({f"_long_{f}": (F.sum(f"_far_{f}").over(good.rowsBetween(-longest, 0)) == longest + 1).cast("int") for f in FIELDS})
-    spike = any_of([(F.col(f"_far_{f}") == 1) & (F.max(f"_long_{f}").over(good.rowsBetween(0, longest)) == 0) for f in FIELDS])
-    rows = rows.withColumn("_spike", ~F.col("_bad") & spike).where("_own = _chunk")
-    why = F.array_compact(F.array(*[F.when(F.col(c), F.lit(n)) for c, n in (("_bad", "bounds"), ("_stuck", "stuck"), ("_spike", "spike"))]))
-    return rows.withColumn("why", why).where("size(why) > 0").select(*SOURCE, "index", "why")
+    spread = placed.withColumn("_own", F.floor(F.col("_pos") / CHUNK)).withColumn("_chunk", F.explode(near)).where("_chunk >= 0")
+    rows = written(_decomposed(spread, longest, stuck), "frames")
+    # a chunk's median counts once for every 64 of its frames
+    halves = rows.where("_frames is not null").select(*SOURCE, F.explode(F.array_repeat(F.struct(*[f"_half_{f}" for f in FIELDS]), F.ceil(F.col("_frames") / 64).cast("int"))).alias("d"))
+    scales = halves.groupBy(*SOURCE).agg(*[(MAD * F.percentile_approx(f"d._half_{f}", 0.5, 10_000)).alias(f"_scatter_{f}") for f in FIELDS])
+    far = lambda f: times * F.coalesce(f"_scatter_{f}", F.lit(0.0))
+    spike = any_of([F.coalesce((F.col(f"_reach_{f}") > far(f)) & (F.col(f"_off_{f}") > far(f) / 2), F.lit(False)) for f in FIELDS])
+    why = F.array_compact(F.array(F.when(F.col("_bad"), "bounds"), F.when(F.col("_stuck"), "stuck"), F.when(spike, "spike")))
+    return rows.join(scales, SOURCE, "left").withColumn("why", why).where("size(why) > 0").select(*SOURCE, "index", "why")
