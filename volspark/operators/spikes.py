@@ -97,8 +97,12 @@ def off_most(around: np.ndarray, sign: np.ndarray) -> np.ndarray:
 
 
 def _median(details: np.ndarray) -> float:
+    """Of the details of all dilations (columns); where most are 0, as in a series that repeats itself, of the dilation with the largest median."""
     there = details[~np.isnan(details)]
-    return float(np.median(there)) if len(there) else float("nan")
+    if not len(there):
+        return float("nan")
+    half = float(np.median(there))
+    return half or max(float(np.median(d)) for c in details.T if len(d := c[~np.isnan(c)]))
 
 
 def _decomposed(placed: DataFrame, longest: int, stuck: int) -> DataFrame:
