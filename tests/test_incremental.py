@@ -87,7 +87,7 @@ def test_generic_refresh(spark, tmp_path):
 
     schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("n", T.LongType())])
     part = F.pmod(F.hash("g"), F.lit(5)).cast("int")
-    table = inc.IncrementalRefresh(spark, str(tmp_path), schema)
+    table = inc.IncrementalRefresh(spark, str(tmp_path), schema, lease=0)
     seen = []
 
     def count(cut):
@@ -110,3 +110,42 @@ def test_generic_refresh(spark, tmp_path):
     assert table.run(make(changed + [("b", 2)]), count).changed
     assert table.run(make([]), count).removed and table.read().count() == 0
     assert inc.IncrementalRefresh(spark, str(tmp_path / "none"), schema).read().count() == 0
+
+
+def test_of_two_runs_at_once_one_commits_and_nothing_stale_stays(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("n", T.LongType())])
+    part = F.pmod(F.hash("g"), F.lit(5)).cast("int")
+    count = lambda cut: cut[0].groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumn("part", part)
+    make = lambda rs: [inc.Source(spark.createDataFrame(rs, "g string, v int"), part)]
+    table, other = (inc.IncrementalRefresh(spark, str(tmp_path), schema) for _ in range(2))
+    table.run(make([("a", 1)]), count)
+    old, new = [("a", 1), ("a", 2)], [("a", 1), ("a", 2), ("a", 3)]
+
+    def meanwhile(cut):
+        other.run(make(new), count)
+        return count(cut)
+
+    with pytest.raises(RuntimeError, match="another run"):
+        table.run(make(old), meanwhile)
+    assert [r.n for r in table.read().collect()] == [2]  # the late writer has left its rows
+    assert table.run(make(new), count).changed and [r.n for r in table.read().collect()] == [3]
+    assert table.run(make(new), count).changed  # until the lease of the run that failed has ended
+    table.lease = 0
+    assert table.run(make(new), count).changed and not table.run(make(new), count).changed
+
+
+def test_partitions_follow_the_size(spark, tmp_path):
+    assert (inc.side_for(0), inc.side_for(64_000_000), inc.side_for(10**9), inc.side_for(10**13)) == (8, 8, 32, 256)
+    objects, runs = case(200)
+    as_df = lambda: (spark.createDataFrame(objects, OBJECTS), spark.createDataFrame(runs, RUNS))
+    table, _ = inc.refresh_sync(spark, str(tmp_path), *as_df())
+    before, inc.PART_ROWS = inc.PART_ROWS, 0.1
+    try:
+        table, again = inc.refresh_sync(spark, str(tmp_path), *as_df())
+    finally:
+        inc.PART_ROWS = before
+    assert table.layout() == 64 and again.changed
+    assert sorted((tuple(r) for r in table.read().collect()), key=str) == sorted(brute(objects, runs), key=str)
+    assert not inc.refresh_sync(spark, str(tmp_path), *as_df())[1].changed

@@ -5,7 +5,9 @@ Spark has no unsigned types: values are carried in a wider signed type and named
 
 from __future__ import annotations
 
+import bisect
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,39 +80,48 @@ def crop_bounds(crop: tuple[float | int, float | int], size: int) -> tuple[int,
 def exact_percentiles(df: DataFrame, column: str, percents: list[float], keep: int = 100_000) -> list[float]:
     """Linearly interpolated percentiles of all values, exact at any size.
 
-    Each pass counts the values in bins between the bounds that are known for a rank, and narrows them to the bin that holds it, until
-    few enough values (or a single one) lie there to be read. The driver gets the bins' counts and at most `keep` values. Nulls and NaN don't count.
+    Each pass counts the values in bins between the bounds that are known for every open rank, and narrows them to the bins that hold the ranks, until
+    few enough values (or a single one) lie there to be read. The driver gets the bins' counts and at most `keep` values for each rank. Nulls and NaN don't count;
+    infinite values do, as the first and last ranks.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    n, least, most = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    v, infinity = F.col("v"), F.lit(float("inf"))
+    finite = F.when(F.abs(v) < infinity, v)
+    n, inside, low, least, most = values.agg(F.count("v"), F.count(finite), F.count(F.when(v == -infinity, v)), F.min(finite), F.max(finite)).first()
     if not n:
         raise ValueError("no values")
     ranks = sorted({r for p in percents for x in [p / 100 * (n - 1)] for r in (math.floor(x), math.ceil(x))})
-    found: dict[int, float] = {}
-    todo = [(least, most, 0, n, ranks)]  # values from a to b, so many lie below, so many inside, wanted ranks
+    found = {r: -math.inf if r < low else math.inf for r in ranks if r < low or r >= low + inside}
     bins = 4096
-    while todo:
-        a, b, below, inside, wanted = todo.pop()
-        part = values.where((F.col("v") >= a) & (F.col("v") <= b))
-        if a == b:
+    todo = [(least, most, low, inside, [r for r in ranks if r not in found])]  # values from a to b, so many lie below, so many inside, wanted ranks
+    while todo := [x for x in todo if x[4]]:
+        for a, _, _, _, wanted in [x for x in todo if x[0] == x[1]]:
             found |= dict.fromkeys(wanted, a)
-        elif inside <= keep:
-            rows = [r[0] for r in part.sort("v").collect()]
-            found |= {r: rows[r - below] for r in wanted}
-        else:
-            width = (b - a) / bins
-            bin_ = F.least(F.floor((F.col("v") - a) / width), F.lit(bins - 1)) if width > 0 else F.when(F.col("v") == a, 0).otherwise(1)
-            at = below
-            for _, count, lo, hi in sorted(part.groupBy(bin_.alias("b")).agg(F.count("v"), F.min("v"), F.max("v")).collect()):
-                mine = [r for r in wanted if at <= r < at + count]
-                if mine:
-                    todo.append((lo, hi, at, count, mine))
-                at += count
+        todo = [x for x in todo if x[0] != x[1]]
+        short, long = [x for x in todo if x[3] <= keep], [x for x in todo if x[3] > keep]
+        if short:
+            reduced = values.where(reduce(lambda p, q: p | q, [v.between(a, b) for a, b, *_ in short]))
+            rows = [r[0] for r in reduced.sort("v").collect()]
+            for a, _, below, _, wanted in short:
+                first = bisect.bisect_left(rows, a)
+                found |= {r: rows[first + r - below] for r in wanted}
+        todo = []
+        if long:
+            place = bin_ = F.lit(None).cast("bigint")
+            for k, (a, b, *_) in enumerate(long):
+                width = b / bins - a / bins
+                own = F.least(F.floor((v - a) / width), F.lit(bins - 1)) if width > 0 else F.when(v == a, 0).otherwise(1)
+                place, bin_ = F.when(v.between(a, b), k).otherwise(place), F.when(v.between(a, b), own).otherwise(bin_)
+            counts = values.groupBy(place.alias("k"), bin_.alias("b")).agg(F.count("v"), F.min("v"), F.max("v")).where("k is not null").collect()
+            for k, (_, _, at, _, wanted) in enumerate(long):
+                for _, _, count, lo, hi in sorted(r for r in counts if r[0] == k):
+                    todo.append((lo, hi, at, count, [r for r in wanted if at <= r < at + count]))
+                    at += count
     out = []
     for p in percents:
         x = p / 100 * (n - 1)
         lo, hi = found[math.floor(x)], found[math.ceil(x)]
-        out.append(lo + (hi - lo) * (x - math.floor(x)))
+        out.append(lo if lo == hi else lo + (hi - lo) * (x - math.floor(x)))
     return out
 
 

@@ -3,8 +3,8 @@
 `IncrementalRefresh` keeps a derived table up to date. The sources are cut into partitions; each has a fingerprint of its
 row count and of additive row hashes. A run recomputes the partitions whose fingerprint differs from that of the last
 successful run, replaces each through dynamic partition overwrite, and only then commits the new fingerprints. A run that
-dies leaves the old fingerprints, so the next one computes the same partitions again and replaces whatever was half done:
-nothing is skipped and nothing appears twice.
+dies leaves the old fingerprints and the announcement of what it was to write, so the next one computes those partitions again and replaces whatever
+was half done: nothing is skipped and nothing appears twice. Of two runs at once one commits and the other raises.
 
 `sync_deltas` is the computation for object listings: the objects that each succeeded run has to carry.
 """
@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -25,6 +27,8 @@ from pyspark.sql.window import Window as W
 from ..functions.hashing import additive, additive_names, row_hash
 from ..session import Files
 
+#: A partition has about so many rows; there are at most MOST_PARTS, whose fingerprints the driver holds.
+PART_ROWS, MOST_PARTS = 1_000_000, 1 << 16
 #: A hot group is one with more than this many rows and than a HOT_SHARE-th of all; so there are at most HOT_SHARE of them.
 GROUP_ROWS = 50_000
 HOT_SHARE = 1000
@@ -58,28 +62,34 @@ class IncrementalRefresh:
     sources, or that come out empty, vanish from the table.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, signature: str = "1", part: str = "part"):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, signature: str = "1", part: str = "part", lease: float = 86_400):
         self.spark, self.root, self.schema, self.signature, self.part = spark, root.rstrip("/"), schema, signature, part
+        #: How many seconds a run may take from its announcement to its commit.
+        self.lease = lease
         self.files = Files(spark, self.root)
 
     # state ---------------------------------------------------------------------------------------------------------
     def _versions(self) -> list[int]:
         return sorted(int(n[2:]) for n in self.files.names(f"{self.root}/state") if n.startswith("v="))
 
+    def _state(self) -> tuple[int, dict]:
+        versions = self._versions()
+        return (versions[-1], json.loads(self.files.read_text(f"{self.root}/state/v={versions[-1]}"))) if versions else (0, {"prints": {}, "layout": None, "run": None})
+
     def committed(self) -> tuple[int, dict[int, str]]:
         """Number and fingerprints of the last successful run; (0, {}) before the first."""
-        versions = self._versions()
-        if not versions:
-            return 0, {}
-        text = self.spark.read.text(f"{self.root}/state/v={versions[-1]}").first()[0]
-        return versions[-1], {int(k): v for k, v in json.loads(text).items()}
-
-    def _commit(self, version: int, prints: dict[int, str]) -> None:
-        """The fingerprints become visible by one rename; only the last two versions are kept."""
-        there, new = f"{self.root}/state/v={version}", f"{self.root}/state/_new"
-        self.spark.createDataFrame([(json.dumps(prints),)], "value string").coalesce(1).write.mode("overwrite").text(new)
-        if not self.files.rename(new, there):
-            raise RuntimeError(f"another run has committed {there}")
+        version, state = self._state()
+        return version, {int(k): x for k, x in state["prints"].items()}
+
+    def layout(self) -> object:
+        """What the last successful run said of its partitions, None before the first."""
+        return self._state()[1]["layout"]
+
+    def _commit(self, version: int, prints: dict[int, str], layout: object, run: str) -> None:
+        """The fingerprints become visible at once, by a file that only one writer can create; the last two versions are kept."""
+        text = json.dumps({"prints": prints, "layout": layout, "run": run})
+        if not self.files.publish(f"{self.root}/state/v={version}", text):
+            raise RuntimeError(f"another run has committed version {version}; what this one wrote may stand, so the next run computes those partitions again")
         for old in self._versions()[:-2]:
             self.files.delete(f"{self.root}/state/v={old}")
 
@@ -105,21 +115,31 @@ class IncrementalRefresh:
         return {p: hashlib.sha256("|".join([self.signature, *sorted(x)]).encode()).hexdigest()[:32] for p, x in found.items()}
 
     # runs ----------------------------------------------------------------------------------------------------------
-    def run(self, sources: list[Source], compute: Callable[[list[DataFrame]], DataFrame], fail_after_write: bool = False) -> Refreshed:
-        """One run. `compute` gets the sources cut down to changed partitions and gives rows with the partition column."""
-        version, before = self.committed()
+    def run(self, sources: list[Source], compute: Callable[[list[DataFrame]], DataFrame], layout: object = None, fail_after_write: bool = False) -> Refreshed:
+        """One run. `compute` gets the sources cut down to changed partitions and gives rows with the partition column.
+
+        A run announces its partitions before it writes and withdraws that when it has committed; partitions that another run has announced count as changed,
+        until `lease` seconds after, when it has surely ended: so whatever two runs at once or a run that died have left is computed again. A `layout` unlike the last one makes every partition count as changed.
+        """
+        began = time.time()
+        version, state = self._state()
+        before = {int(k): x for k, x in state["prints"].items()} if state["layout"] == layout else {}
         now = self.fingerprints(sources)
-        changed = sorted(p for p, x in now.items() if before.get(p) != x)
-        removed = sorted(p for p in before if p not in now)
-        out = f"{self.root}/out"
+        begun = f"{self.root}/begun"
+        others = {n: json.loads(self.files.read_text(f"{begun}/{n}")) for n in self.files.names(begun) if not n.startswith(".")}
+        touched = {p for x in others.values() for p in x["parts"]}
+        changed = sorted(p for p, x in now.items() if before.get(p) != x or p in touched)
+        removed = sorted(({int(k) for k in state["prints"]} | touched) - now.keys())
+        out, token = f"{self.root}/out", uuid.uuid4().hex
+        if changed or removed:
+            self.files.publish(f"{begun}/{token}", json.dumps({"parts": changed + removed, "at": time.time()}))
         if changed:
             every = len(changed) == len(now)  # then no row needs to be tested
             cut = [s.df if every else s.df.where(s.keep(changed) if s.keep else s.part.isin(changed)) for s in sources]
-            token = f"{time.time_ns():x}"
             rows = compute(cut).select(*[F.col(f.name).cast(f.dataType) for f in self.schema], F.col(self.part).cast("int"))
             (
                 rows.withColumn("_token", F.lit(token))
-                .repartition(F.col(self.part), F.pmod(F.hash(*self.schema.names), F.lit(4)))
+                .repartition(F.col(self.part))
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .option("compression", "zstd")
@@ -134,7 +154,9 @@ class IncrementalRefresh:
             self.files.delete(f"{out}/{self.part}={p}")
         if changed or removed or not version:
             version += 1
-            self._commit(version, now)
+            self._commit(version, now, layout, token)
+            for n in [token, *[n for n, x in others.items() if x["at"] + self.lease <= began]]:
+                self.files.delete(f"{begun}/{n}")
         return Refreshed(version, changed, sorted(set(now) - set(changed)), sorted(removed))
 
     def _raw(self) -> DataFrame:
@@ -148,16 +170,19 @@ class IncrementalRefresh:
 
 
 # object listings ---------------------------------------------------------------------------------------------------
-TREE_PARTS, KEY_PARTS = 16, 4
+def side_for(rows: int) -> int:
+    """How many parts of trees, and of keys in each, a listing of so many rows is cut into: a power of 2, at least 8."""
+    parts = min(MOST_PARTS, max(64, rows // PART_ROWS))
+    return 1 << math.ceil(math.log2(parts) / 2)
 
 
-def _tree_part(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(TREE_PARTS)).cast("int")
+def _tree_part(c: Column, side: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
 
 
-def sync_part() -> Column:
+def sync_part(side: int) -> Column:
     """Partition of an object: of its tree and, as a tree may hold a third of all rows, of its key."""
-    return (_tree_part(F.col("tree")) * KEY_PARTS + F.pmod(F.xxhash64("key"), F.lit(KEY_PARTS))).cast("int")
+    return (_tree_part(F.col("tree"), side) * side + F.pmod(F.xxhash64("key"), F.lit(side))).cast("int")
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
@@ -186,7 +211,7 @@ def hot_groups(df: DataFrame, by: str, group_rows: int = GROUP_ROWS) -> DataFram
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def sync_deltas(objects: DataFrame, runs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def sync_deltas(objects: DataFrame, runs: DataFrame, group_rows: int = GROUP_ROWS, side: int = 8) -> DataFrame:
     """(part, run_id, key): a succeeded run and a key of its tree whose state changed since the tree's run before.
 
     Each row is first given the earliest succeeded run of its tree that started at or after `seen_at`: an as-of match by one
@@ -228,18 +253,20 @@ def sync_deltas(objects: DataFrame, runs: DataFrame, group_rows: int = GROUP_ROW
     so_far = newest.withColumn("state", F.max("state").over(history.rowsBetween(W.unboundedPreceding, 0)))
     before = so_far.withColumn("before", F.lag("state").over(history))
     same = F.col("before").isNotNull() & (F.col("before.size") == F.col("state.size")) & (F.col("before.mtime_ns") == F.col("state.mtime_ns"))
-    return before.where(~same).select(sync_part().alias("part"), "run_id", "key")
+    return before.where(~same).select(sync_part(side).alias("part"), "run_id", "key")
 
 
 def refresh_sync(spark: SparkSession, root: str, objects: DataFrame, runs: DataFrame) -> tuple[IncrementalRefresh, Refreshed]:
     """Bring the table of deltas below `root` up to date with the listings and the run log."""
     schema = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("key", T.StringType())])
     table = IncrementalRefresh(spark, root, schema)
-    spread = lambda t: [t * KEY_PARTS + k for k in range(KEY_PARTS)]
+    # partitions follow the size of the listing; they are cut anew, and then all computed, where it has outgrown them sixteen times
+    wanted, old = side_for(objects.count()), table.layout()
+    side = wanted if old is None or wanted >= 4 * old else old
     used = objects.select("row_id", "tree", "key", "size", "mtime_ns", "listed_at", "seen_at")
     logged = runs.select("run_id", "tree", "started_at", "status", "logged_at")
     sources = [
-        Source(used, sync_part()),
-        Source(logged, _tree_part(F.col("tree")), spread, lambda ps: _tree_part(F.col("tree")).isin(sorted({p // KEY_PARTS for p in ps}))),
+        Source(used, sync_part(side)),
+        Source(logged, _tree_part(F.col("tree"), side), lambda t: [t * side + k for k in range(side)], lambda ps: _tree_part(F.col("tree"), side).isin(sorted({p // side for p in ps}))),
     ]
-    return table, table.run(sources, lambda cut: sync_deltas(*cut).withColumn("part", F.col("part")))
+    return table, table.run(sources, lambda cut: sync_deltas(*cut, side=side), side)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().select("run_id", "key")
 
 
+def p1_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1_found in two rounds: listings and run log as they stood an hour before the last listing arrived, then all; the second computes only what that hour touched."""
+    objects, runs, root = load(spark, sf_dir, "sync_objects"), load(spark, sf_dir, "sync_runs"), scratch(spark, "sync")
+    end = objects.agg((F.max("seen_at") - F.expr("interval 1 hour")).alias("end")).first()["end"] or datetime(1970, 1, 1)
+    incremental.refresh_sync(spark, root, objects.where(F.col("seen_at") <= F.lit(end)), runs.where(F.col("logged_at") <= F.lit(end)))
+    table, _ = incremental.refresh_sync(spark, root, objects, runs)
+    return table.read().select("run_id", "key")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.implausible(load(spark, sf_dir, "frame_manifest")).select("source_file", "type", "index")
 
@@ -118,7 +129,7 @@ union all select conf_id, field, 'added' from come c where not exists (select 1
 union all select p.conf_id, n.field, 'type_changed' from pair p join leaf n on n.conf_id = p.conf_id join leaf o on o.conf_id = p.old and o.field = n.field where n.kind <> o.kind and n.kind <> 'null' and o.kind <> 'null'"""
 )
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_containers, p4_contents, p5_found, p5_table, p5_paths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rounds, p2_found, p3_found, p4_found, p4_containers, p4_contents, p5_found, p5_table, p5_paths)}
 
 SQL = {
     "p2_found": _p2_sql(),
@@ -172,3 +183,4 @@ c as (select *, coalesce(sum(size) over (partition by stack_id order by slice_no
 select stack_id, cast(before // (134217728 - 1048576) as bigint) as container, count(*) as slices, min(slice_no) as first_slice, max(slice_no) as last_slice, cast(sum(size) as bigint) as bytes
 from c group by all""",
 }
+SQL["p1_rounds"] = SQL["p1_found"]
