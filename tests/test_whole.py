@@ -73,7 +73,7 @@ def test_tally_runs_in_blocks(spark):
 
 @needs_data
 def test_tally_of_every_part(spark):
-    assert entry.queries()["progress_tally_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()
+    assert entry.queries()["progress_tally"](spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()
 
 
 @needs_data
@@ -81,8 +81,8 @@ def test_tally_of_every_part(spark):
 def test_every_plane_is_corrected(spark):
     duck = duckdb.connect()
     duck.sql(f"create view events as select * from '{LONGER}/events.parquet'")
-    want = {tuple(r[:3]): r[3] for r in duck.sql(entry.oracle_sql()["flatfield_correct_whole"]).fetchall()}
-    got = {tuple(r[:3]): r[3] for r in entry.queries()["flatfield_correct_whole"](spark, LONGER).select("z", "y", "x", "v").collect()}
+    want = {tuple(r[:3]): r[3] for r in duck.sql(entry.oracle_sql()["flatfield_correct"]).fetchall()}
+    got = {tuple(r[:3]): r[3] for r in entry.queries()["flatfield_correct"](spark, LONGER).select("z", "y", "x", "v").collect()}
     assert got == pytest.approx(want, abs=2e-6) and len({z for z, _, _ in got}) == 100
 
 
@@ -152,7 +152,7 @@ def test_frames_without_a_usable_mean_count(spark):
 def test_report_counts_every_frame(spark):
     for name, frames in (("white", "whites"), ("dark", "darks")):
         want = spark.read.parquet(f"{SF}/frame_manifest.parquet").where(f"type = '{name}'").count()
-        assert entry.queries()["reference_report_whole"](spark, SF).agg({frames: "sum"}).first()[0] == want
+        assert entry.queries()["reference_report"](spark, SF).agg({frames: "sum"}).first()[0] == want
 
 
 @needs_data
@@ -167,7 +167,7 @@ def test_every_block_has_an_id_of_its_own(spark):
                     k += 1
         return out
 
-    got = {(r.bx, r.by, r.bz): (r.id, r.shard) for r in entry.queries()["shard_ids_whole"](spark, LONGER).collect()}
+    got = {(r.bx, r.by, r.bz): (r.id, r.shard) for r in entry.queries()["shard_ids"](spark, LONGER).collect()}
     want = {at: code(at, (3, 3, 25)) for at in np.ndindex(3, 3, 25)}
     assert got == {at: (i, i >> 4) for at, i in want.items()} and len({i for i, _ in got.values()}) == 225
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DIGITS = 20
-
-
 def natural_key(name: Column) -> Column:
-    """A text whose order is the natural one: numbers are padded to one width, letters lower-case."""
+    """A text whose order is the natural one: before each number stands how many digits it has without leading zeros, letters are lower-case."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, DIGITS, "0")).otherwise(p)), "")
+
+    def key(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+", "")
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(p)
+
+    return F.array_join(F.transform(parts, key), "")
 
 
 def stem(name: Column) -> Column:
@@ -110,8 +112,9 @@ def layer_kind(name: Column) -> Column:
 
 
 def layer_encoding(asked: Column, kind: Column, source: Column) -> Column:
-    """`auto` keeps a segmentation's compressed encoding and is raw for images."""
-    return F.when(asked != "auto", asked).when(kind == "segmentation", F.coalesce(F.nullif(source, F.lit("raw")), F.lit("compressed_segmentation"))).otherwise("raw")
+    """`auto` is raw for images, a segmentation's compressed form where its source is raw, and else the source's encoding."""
+    automatic = F.when(kind == "image", "raw").when((kind == "segmentation") & (source == "raw"), "compressed_segmentation").otherwise(source)
+    return F.when(asked != "auto", asked).otherwise(automatic)
 
 
 def is_color(text: Column) -> Column:

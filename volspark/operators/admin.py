@@ -59,9 +59,25 @@ def rename_plan(files: DataFrame, new: Column) -> DataFrame:
 
 
 def file_fingerprints(files: DataFrame) -> DataFrame:
-    """SHA-256 of the sorted (name, size) of each parent's files. Directories are listings of one node, small by nature."""
-    listing = F.transform(F.array_sort(F.collect_list(F.struct("name", "size"))), lambda x: F.concat_ws(":", x["name"], x["size"].cast("string")))
-    return files.groupBy("parent").agg(F.sha2(F.array_join(listing, ","), 256).alias("fingerprint"))
+    """SHA-256 of the JSON list of each parent's files as (name, size, mtime_ns), by name. Directories are listings of one node, small by nature."""
+    entry = lambda x: F.concat(F.lit("["), F.regexp_extract(F.to_json(F.array(x["name"])), r"(?s)^\[(.*)\]$", 1), F.lit(","), x["size"].cast("string"), F.lit(","), x["mtime_ns"].cast("string"), F.lit("]"))
+    listing = F.transform(F.array_sort(F.collect_list(F.struct("name", "size", "mtime_ns"))), entry)
+    return files.groupBy("parent").agg(F.sha2(F.concat(F.lit("["), F.array_join(listing, ","), F.lit("]")), 256).alias("fingerprint"))
+
+
+def info_fingerprint(text: Column) -> Column:
+    """SHA-256 of what makes a volume's identity in its info document: type, data type, channels, and key, resolution, offset, size and encoding of its first scale.
+
+    Null for a text that is no JSON or has no first scale; keys that are absent count as null.
+    """
+    doc = F.try_parse_json(text)
+    at = lambda path: F.coalesce(F.to_json(F.try_variant_get(doc, path, "variant")), F.lit("null"))
+    pair = lambda name, path: F.concat(F.lit(f'"{name}":'), at(path))
+    scale = [pair(k, f"$.scales[0].{k}") for k in ("encoding", "key", "resolution", "size", "voxel_offset")]
+    identity = F.concat(
+        F.lit("{"), F.concat_ws(",", pair("data_type", "$.data_type"), pair("num_channels", "$.num_channels"), F.concat(F.lit('"scale0":{'), F.concat_ws(",", *scale), F.lit("}")), pair("type", "$.type")), F.lit("}")
+    )
+    return F.when(F.try_variant_get(doc, "$.scales[0]", "variant").isNotNull(), F.sha2(identity, 256))
 
 
 def scan_times(files: DataFrame) -> DataFrame:
@@ -137,16 +153,58 @@ def completeness(scales: DataFrame, objects: DataFrame) -> DataFrame:
     return scales.join(have, "scale", "left").select("scale", expected.alias("expected"), found.alias("found"), (expected == found).alias("complete"))
 
 
-def scale_errors(data_type: Column, key: Column, size: Column, chunk: Column, resolution: Column, known: list[str]) -> Column:
-    """Messages about a scale of an info document, none if it is sound."""
-    three = lambda c, what: F.when(c.isNull() | (F.size(c) != 3), F.lit(f"{what} must have three numbers"))
-    positive = lambda c, what: F.when(F.exists(c, lambda v: v <= 0), F.lit(f"{what} must be above 0"))
-    return F.array_compact(
-        F.array(
-            F.when(data_type.isNull() | ~data_type.isin(*known), F.lit("unknown data_type")), F.when(key.isNull() | (key == ""), F.lit("a scale needs a key")),
-            three(size, "size"), three(chunk, "chunk_sizes"), three(resolution, "resolution"), positive(size, "size"), positive(chunk, "chunk_sizes"), positive(resolution, "resolution"),
-        )
-    )
+#: The fields of an info document and of its scales, and the names of number types.
+INFO_FIELDS = ["type", "data_type", "num_channels", "scales"]
+SCALE_FIELDS = ["key", "encoding", "resolution", "voxel_offset", "size", "chunk_sizes"]
+DATA_TYPES = ["uint8", "uint16", "uint32", "uint64", "int8", "int16", "int32", "int64", "float32", "float64"]
+
+
+def info_errors(text: Column, data_types: list[str] = DATA_TYPES) -> Column:
+    """Messages about an info document (JSON text), in the order of its fields and then of its scales; none if it is sound."""
+    doc = F.try_parse_json(text)
+    get = lambda v, path: F.try_variant_get(v, f"$.{path}", "variant")
+    kind = lambda v: F.coalesce(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0), F.lit("VOID"))
+    whole, number = (lambda k: k == "BIGINT"), (lambda k: k.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"))
+    # a field that is there and null is there: the keys tell
+    keys = lambda v: F.coalesce(F.map_keys(F.from_json(F.to_json(v), "map<string,string>")), F.array().cast("array<string>"))
+    shown = lambda v: F.when(kind(v) == "STRING", F.concat(F.lit("'"), v.cast("string"), F.lit("'"))).otherwise(F.coalesce(F.nullif(F.to_json(v), F.lit("null")), F.lit("None")))
+    items = lambda v: F.when(kind(v) == "ARRAY", v.cast("array<variant>"))
+
+    def scale(s: Column, mip: Column) -> Column:
+        at = F.concat(F.lit("mip "), mip.cast("string"), F.lit(": "))
+        say = lambda bad, what: F.when(F.coalesce(bad, F.lit(True)), F.concat(at, F.lit(what)))
+        there = lambda f: F.array_contains(keys(s), f)
+
+        def triple(f: str, positive: bool, of, word: str) -> Column:  # noqa: ANN001
+            xs = items(get(s, f))
+            return (
+                F.when(F.coalesce(F.size(xs) != 3, F.lit(True)), F.concat(at, F.lit(f"{f} must contain three values")))
+                .when(F.exists(xs, lambda x: ~of(kind(x))), F.concat(at, F.lit(f"{f} entries must be {word}")))
+                .when(F.exists(xs, lambda x: x.try_cast("double") <= 0) if positive else F.lit(False), F.concat(at, F.lit(f"{f} entries must be positive")))
+            )
+
+        chunks = items(get(s, "chunk_sizes"))
+        bad_chunk = lambda c: F.coalesce((F.size(items(c)) != 3) | F.exists(items(c), lambda x: ~(whole(kind(x)) & (x.try_cast("double") > 0))), F.lit(True))
+        found = [
+            *[say(~there(f), f"missing {f}") for f in SCALE_FIELDS],
+            *[F.when(there(f), say((kind(get(s, f)) != "STRING") | (get(s, f).cast("string") == ""), f"{f} must be a non-empty string")) for f in ("key", "encoding")],
+            triple("resolution", True, number, "numeric"),
+            triple("voxel_offset", False, whole, "integer"),
+            triple("size", True, whole, "integer"),
+            say((F.size(chunks) < 1) | F.exists(chunks, bad_chunk), "invalid chunk_sizes"),
+        ]
+        return F.when(kind(s) != "OBJECT", F.array(F.concat(at, F.lit("scale must be an object")))).otherwise(F.array_compact(F.array(*found)))
+
+    layer, data, channels, scales = (get(doc, f) for f in INFO_FIELDS)
+    top = [
+        *[F.when(~F.array_contains(keys(doc), f), F.lit(f"missing info field: {f}")) for f in INFO_FIELDS],
+        F.when(F.coalesce((kind(layer) != "STRING") | ~layer.cast("string").isin("image", "segmentation"), F.lit(True)), F.concat(F.lit("unsupported layer type: "), shown(layer))),
+        F.when(F.coalesce((kind(data) != "VOID") & ((kind(data) != "STRING") | ~data.cast("string").isin(*data_types)), F.lit(True)), F.concat(F.lit("invalid data_type: "), shown(data))),
+        F.when(F.coalesce(~whole(kind(channels)) | (channels.try_cast("double") < 1), F.lit(True)), F.concat(F.lit("invalid num_channels: "), shown(channels))),
+        F.when(F.coalesce(F.size(items(scales)) < 1, F.lit(True)), F.lit("scales must be a non-empty list")),
+    ]
+    each = F.coalesce(F.flatten(F.transform(items(scales), scale)), F.array().cast("array<string>"))
+    return F.when(kind(doc) != "OBJECT", F.array(F.lit("info must be a JSON object"))).otherwise(F.concat(F.array_compact(F.array(*top)), each))
 
 
 def field_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:

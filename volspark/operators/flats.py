@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import stencils
 from ..functions.numeric import exact_percentiles
+from ..session import written
 
 
 def medianize(df: DataFrame, group: list[str]) -> DataFrame:
@@ -81,10 +83,10 @@ def crossfade(pre: Column, post: Column, s: Column) -> Column:
     return F.exp((1 - s) * F.ln(pre) + s * F.ln(post))
 
 
-def gain_stack(pair: DataFrame, count: int) -> DataFrame:
-    """(i, y, x, g): the mixture at `count` even steps from pre to post."""
+def gain_stack(pair: DataFrame, count: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., i, y, x, g): the mixture at `count` even steps from pre to post."""
     steps = pair.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    return steps.select("i", "y", "x", crossfade(F.col("pre"), F.col("post"), F.col("i") / max(1, count - 1)).alias("g"))
+    return steps.select(*by, "i", "y", "x", crossfade(F.col("pre"), F.col("post"), F.col("i") / max(1, count - 1)).alias("g"))
 
 
 def flatfield(projection: Column, gain: Column, dark: Column) -> Column:
@@ -148,6 +150,62 @@ def lag1_autocorrelation(df: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg((F.avg(F.col("h") * F.col("_n")) / F.nullif(F.avg(F.col("h") * F.col("h")), F.lit(0.0))).alias("lag1"))
 
 
+# reports on a pair of flats ----------------------------------------------------------------------------------------
+#: Motion of less than 3 noises, 8-bit data and dark pixels in steps of over a hundredth call for the transport model.
+MOTION, DARK_STEP, DARK, BRIGHT = 3.0, 0.01, 0.15, 0.6
+
+
+def flat_report(pairs: DataFrame, sigma: float = 8) -> DataFrame:
+    """One row for each pair of planes (z, height, width, pre, post): how the beam changed, in measured noise and motion, and the gain model that suits it.
+
+    All figures are aggregates over the pixels' log ratio, its smooth part and the rest.
+    """
+    rows = written(stencils.with_smooth(pairs, {"_a": ("pre", sigma), "_b": ("post", sigma)}), "pair")
+    ratio = F.ln("post") - F.ln("pre")
+    rows = rows.withColumn("smooth", F.col("_b") - F.col("_a")).withColumn("v", ratio - F.col("smooth"))
+    facts = rows.groupBy("z").agg(
+        F.first("noise").alias("noise"),
+        (F.expm1(F.median(ratio)) * 100).alias("drift_percent"),
+        F.stddev_pop("smooth").alias("smooth_motion"),
+        F.stddev_pop("v").alias("fine"),
+        F.percentile("pre", F.lit(BRIGHT)).alias("_bright"),
+        F.percentile("pre", F.lit(DARK)).alias("_dark"),
+        F.avg("pre").alias("_mean"),
+        F.max("pre").alias("_top"),
+        F.bool_and(F.col("pre") == F.floor("pre")).alias("_whole"),
+    )
+    bright = rows.join(facts.select("z", "_bright"), "z").where("pre > _bright").groupBy("z").agg(F.avg("pre").alias("_light"))
+    levels = rows.select("z", "pre").distinct()
+    gap = F.col("pre") - F.lag("pre").over(W.partitionBy("z").orderBy("pre"))
+    steps = levels.withColumn("_gap", gap).groupBy("z").agg(F.count("pre").alias("_levels"), F.min("_gap").alias("_step"))
+    all_ = facts.join(bright, "z", "left").join(steps, "z").join(lag1_autocorrelation(rows, "z"), "z")
+    in_ratio = F.sqrt(F.lit(2.0)) * F.col("noise") / F.coalesce("_light", "_mean")
+    eight = (F.col("_levels") <= 256) & (F.col("_top") <= 255)
+    coarse = F.col("_whole") & (F.coalesce("_step", F.lit(0.0)) / F.greatest("_dark", F.lit(1e-6)) > DARK_STEP)
+    motion = F.col("smooth_motion") / F.greatest(in_ratio, F.lit(1e-9))
+    return all_.select(
+        "z", "drift_percent", "noise", "smooth_motion", "fine", F.coalesce("lag1", F.lit(0.0)).alias("lag1"),
+        F.sqrt(F.greatest(F.pow("fine", 2) - F.pow(in_ratio, 2), F.lit(0.0))).alias("fine_motion"), motion.alias("motion_to_noise"), eight.alias("eight_bit"),
+        F.when((motion <= MOTION) | eight | coarse, "transport").otherwise("flow").alias("method"),
+    )
+
+
+def residual_report(triples: DataFrame, s: float, mask: Column, sigma: float = 8, spread: float = 12) -> DataFrame:
+    """One row for each (z, height, width, pre, post, projection): the deviation that each gain model leaves of the projection where `mask` holds (no sample),
+    `share`, the squared correlation of what `post` leaves with the drift, the best model, and whether tracking the drift is worthwhile.
+
+    Smoothing is linear, so the residual of a model is the same mixture of smoothed logarithms as the model is of logarithms.
+    """
+    smooth = {"_a": ("pre", sigma), "_b": ("post", sigma), "_p": ("projection", sigma), "_sa": ("pre", spread), "_sb": ("post", spread), "_ta": ("_sa", sigma), "_tb": ("_sb", sigma)}
+    rows = stencils.with_smooth(triples, smooth).where(mask)
+    a, b, p = (F.col(c) for c in ("_a", "_b", "_p"))
+    models = {"pre": a, "post": b, "crossfade": a + s * (b - a), "transport": (a + b) / 2 + (s - 0.5) * (F.col("_tb") - F.col("_ta"))}
+    left = rows.groupBy("z").agg(*[F.stddev_pop(p - m).alias(k) for k, m in models.items()], F.coalesce(F.pow(F.corr(p - b, b - a), 2), F.lit(0.0)).alias("share"))
+    best = F.array_min(F.array(*[F.struct(F.col(k).alias("v"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(models)]))["k"]
+    worth = (F.col("share") > 0.3) & (F.col("crossfade") < 0.9 * F.least("pre", "post"))
+    return left.withColumn("best", best).withColumn("worthwhile", worth)
+
+
 # sinograms ---------------------------------------------------------------------------------------------------------
 def sinograms(projections: DataFrame, flats: DataFrame, count: int, window: int) -> DataFrame:
     """(y, theta, x, v): projections (theta, y, x, v) corrected by flats (y, x, pre_gain, post_gain, pre_dark, post_dark) whose weights
@@ -162,21 +220,21 @@ def sinograms(projections: DataFrame, flats: DataFrame, count: int, window: int)
     return rows.select("y", "theta", "x", ((F.col("v") - F.col("_dark")) / F.col("_gain")).alias("v"))
 
 
-def overlap_search(lower: DataFrame, upper: DataFrame, height: int, least: int, most: int) -> DataFrame:
-    """(o, std): how unevenly the last o rows of one image divide by the first o rows of the next, for each o in least..most-1."""
+def overlap_search(lower: DataFrame, upper: DataFrame, height: int, least: int, most: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., o, std): how unevenly the last o rows of one image divide by the first o rows of the next, for each o in least..most-1; `by` names columns of both that tell pairs apart."""
     asked = lower.withColumn("o", F.explode(F.sequence(F.lit(least), F.lit(most - 1)))).where(F.col("y") >= height - F.col("o"))
-    met = asked.withColumn("_y", (F.col("y") - (height - F.col("o"))).cast("int")).join(upper.select(F.col("y").alias("_y"), "x", F.col("v").alias("_u")), ["_y", "x"])
-    return met.groupBy("o").agg(F.stddev_pop(F.try_divide("v", "_u")).alias("std"))
+    met = asked.withColumn("_y", (F.col("y") - (height - F.col("o"))).cast("int")).join(upper.select(*by, F.col("y").alias("_y"), "x", F.col("v").alias("_u")), [*by, "_y", "x"])
+    return met.groupBy(*by, "o").agg(F.stddev_pop(F.try_divide("v", "_u")).alias("std"))
 
 
-def best_overlap(scores: DataFrame) -> DataFrame:
-    return scores.agg(F.min_by("o", F.struct("std", "o")).alias("overlap"))
+def best_overlap(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return scores.groupBy(*by).agg(F.min_by("o", F.struct("std", "o")).alias("overlap"))
 
 
-def blend(lower: DataFrame, upper: DataFrame, height: int, overlap: int) -> DataFrame:
-    """Two images one below the other, the mean where they overlap."""
+def blend(lower: DataFrame, upper: DataFrame, height: int, overlap: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Two images one below the other, the mean where they overlap; `by` names columns of both that tell pairs apart."""
     shifted = upper.withColumn("y", (F.col("y") + height - overlap).cast("int"))
-    return lower.unionByName(shifted).groupBy("y", "x").agg(F.avg("v").alias("v"))
+    return lower.unionByName(shifted).groupBy(*by, "y", "x").agg(F.avg("v").alias("v"))
 
 
 def concat_stacks(a: DataFrame, b: DataFrame, a_stop: int, b_start: int) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -103,8 +106,36 @@ def copy_position(target: Column, source: Column) -> Column:
     return F.map_concat(kept, moved)
 
 
+#: The quaternion of the forward view at an angle.
+FORWARD = "[0.3462526500225067,-0.14639334380626678,-0.36085399985313416,0.8535001277923584]"
+
+
+def shift_angle(state: Column, orthographic: bool = False) -> Column:
+    """A map from key to JSON text that looks forward at an angle; a layout that is a plain name becomes an object where it must say orthographic."""
+    layout = F.try_element_at(state, F.lit("layout"))
+    kind = F.when(layout.startswith('"'), F.concat(F.lit('{"type":'), layout, F.lit(',"orthographicProjection":true}'))).otherwise(
+        F.to_json(F.map_concat(F.map_filter(F.from_json(layout, "map<string,variant>"), lambda k, _: k != "orthographicProjection"), F.create_map(F.lit("orthographicProjection"), F.parse_json(F.lit("true")))))
+    )
+    new = F.create_map(F.lit("projectionOrientation"), F.lit(FORWARD), *([F.lit("layout"), kind] if orthographic else []))
+    return F.map_concat(F.map_filter(state, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
+
+
 def read_points(spark, path: str, layer: int = 0) -> DataFrame:  # noqa: ANN001
-    """Annotations (layer, ord, px, py, pz) of a CSV file of three numbers a line, in the file's order; any other line raises."""
+    """Annotations (layer, ord, px, py, pz) of a CSV file of three numbers a line, or of an `.npy` array of three columns, in the file's order; anything else raises."""
+    if path.endswith(".npy"):
+
+        def unpack(batches):  # noqa: ANN001, ANN202
+            for b in batches:
+                for content in b.column(0).to_pylist():
+                    a = np.load(io.BytesIO(content), allow_pickle=False)
+                    if a.ndim != 2 or a.shape[1] != 3:
+                        raise ValueError(f"points need three columns, not {a.shape}")
+                    for first in range(0, len(a), 100_000):
+                        part = a[first : first + 100_000].astype(float)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(part))), *[pa.array(np.ascontiguousarray(c)) for c in part.T]], names=["ord", "px", "py", "pz"])
+
+        points = spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "ord bigint, px double, py double, pz double")
+        return points.select(F.lit(layer).cast("bigint").alias("layer"), "*")
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+\z", ""), r"\r?\n")).alias("ord", "line"))
     p = F.transform(F.split("line", ","), lambda t: F.trim(t).try_cast("double"))
     good = (F.size(p) == 3) & F.forall(p, lambda v: v.isNotNull())

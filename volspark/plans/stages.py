@@ -34,7 +34,7 @@ class Stages:
 
     def record(self, name: str) -> dict | None:
         path = f"{self.root}/{name}.state"
-        return json.loads(self.spark.read.text(path).first()[0]) if self.files.exists(path) else None
+        return json.loads(self.files.read_text(path)) if self.files.exists(path) else None
 
     def run(self, stages: list[Stage], replace: bool = False) -> dict[str, str]:
         """Run what isn't done, in order; each stage gets the tables before it. Gives `done` or `kept` for each."""
@@ -51,9 +51,8 @@ class Stages:
             else:
                 self.files.delete(f"{self.root}/{s.name}.state")
                 s.build(self.spark, tables).write.mode("overwrite").parquet(out)
-                new = f"{self.root}/{s.name}.new"
-                self.spark.createDataFrame([(json.dumps({"fingerprint": mark}),)], "value string").coalesce(1).write.mode("overwrite").text(new)
-                self.files.rename(new, f"{self.root}/{s.name}.state")
+                if not self.files.publish(f"{self.root}/{s.name}.state", json.dumps({"fingerprint": mark})):
+                    raise RuntimeError(f"another run has recorded {s.name}")
                 said[s.name] = "done"
             tables[s.name] = self.spark.read.parquet(out)
             above = mark

@@ -89,23 +89,18 @@ def _pair(v: DataFrame) -> DataFrame:
     return _plane(v, 0, "pre").join(_plane(v, 9, "post"), ["y", "x"])
 
 
-@query(_PAIR + "select i, y, x, round(exp((1 - i / 4.0) * ln(pre) + i / 4.0 * ln(post)), 6) as g from g, (select cast(unnest(range(5)) as int) as i)")
+@query(f"with {_V}, g as (select a.z, a.y, a.x, a.v as pre, b.v as post from v a join v b on b.z = a.z + 1 and b.y = a.y and b.x = a.x) select z, i, y, x, round(exp((1 - i / 4.0) * ln(pre) + i / 4.0 * ln(post)), 6) as g from g, (select cast(unnest(range(5)) as int) as i)")
 def crossfade_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(L.gain_stack(_pair(views.voxels(spark, sf_dir)), 5), "g")
-
-
-@query(_PAIR + "select z, y, x, round((v - 0.1) / greatest(exp((1 - z / 10.0) * ln(pre) + z / 10.0 * ln(post)) - 0.1, 1e-6), 6) as v from v join g using (y, x) where z < 10")
-def flatfield_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gains between each plane and the next."""
     v = views.voxels(spark, sf_dir)
-    rows = v.where("z < 10").join(_pair(v), ["y", "x"])
-    return rounded(rows.select("z", "y", "x", L.flatfield(F.col("v"), L.crossfade(F.col("pre"), F.col("post"), F.col("z") / 10), F.lit(0.1)).alias("v")))
+    later = v.select((F.col("z") - 1).alias("z"), "y", "x", F.col("v").alias("post"))
+    return rounded(L.gain_stack(v.withColumnRenamed("v", "pre").join(later, ["z", "y", "x"]), 5, ("z",)), "g")
 
 
 @query(_PAIR + ", n as (select max(z) + 1 as n from v) select z, y, x, round((v - 0.1) / greatest(exp((1 - z / n) * ln(pre) + z / n * ln(post)) - 0.1, 1e-6), 6) as v from v join g using (y, x), n")
-def flatfield_correct_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`flatfield_correct`, whose SQL is kept at 10 planes, over every plane of the series."""
+def flatfield_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.voxels(spark, sf_dir)
-    rows = v.join(F.broadcast(_pair(v)), ["y", "x"])
+    rows = v.join(_pair(v), ["y", "x"])
     share = F.col("z") / max(1, V.shape(v)[0])
     return rounded(rows.select("z", "y", "x", L.flatfield(F.col("v"), L.crossfade(F.col("pre"), F.col("post"), share), F.lit(0.1)).alias("v")))
 
@@ -122,7 +117,7 @@ def keyframe_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_PAIR + "select z, round(sum((ln(v) - ln(pre)) * (ln(post) - ln(pre))) / sum(power(ln(post) - ln(pre), 2)), 6) as beam_time from v join g using (y, x) group by z")
 def beam_time_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.voxels(spark, sf_dir)
-    rows = v.join(F.broadcast(_pair(v)), ["y", "x"]).select("z", (F.ln("v") - F.ln("pre")).alias("a"), (F.ln("post") - F.ln("pre")).alias("s"))
+    rows = v.join(_pair(v), ["y", "x"]).select("z", (F.ln("v") - F.ln("pre")).alias("a"), (F.ln("post") - F.ln("pre")).alias("s"))
     return rounded(L.beam_time(rows, "z"), "beam_time")
 
 
@@ -199,18 +194,22 @@ def sino_preproc_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(v.select("y", F.col("z").alias("theta"), "x", ((F.col("v") - low) / (high - low)).alias("v")))
 
 
+def _halves(v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every even plane and the one behind it, as pairs to stitch."""
+    pair = F.floor(F.col("z") / 2).cast("int").alias("pair")
+    return tuple(v.where(F.col("z") % 2 == k).select(pair, "y", "x", "v") for k in (0, 1))
+
+
 @query(
-    f"with {_V} select cast(o as int) as o, round(stddev_pop(a.v / b.v), 5) as std from (select unnest(range(2, 8)) as o) join v a on a.z = 0 and a.y >= 10 - o join v b on b.z = 1 and b.y = a.y - (10 - o) and b.x = a.x group by o"
+    f"with {_V} select cast(a.z // 2 as int) as pair, cast(o as int) as o, round(stddev_pop(a.v / b.v), 5) as std from (select unnest(range(2, 8)) as o) join v a on a.z % 2 = 0 and a.y >= 10 - o join v b on b.z = a.z + 1 and b.y = a.y - (10 - o) and b.x = a.x group by a.z // 2, o"
 )
 def stitch_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = views.voxels(spark, sf_dir)
-    return L.overlap_search(v.where("z = 0").drop("z"), v.where("z = 1").drop("z"), 10, 2, 8).select("o", F.round("std", 5).alias("std"))
+    return L.overlap_search(*_halves(views.voxels(spark, sf_dir)), 10, 2, 8, ("pair",)).select("pair", "o", F.round("std", 5).alias("std"))
 
 
-@query(f"with {_V} select y, x, round(avg(v), 6) as v from (select y, x, v from v where z = 0 union all select cast(y + 7 as int), x, v from v where z = 1) group by all")
+@query(f"with {_V} select cast(z // 2 as int) as pair, y, x, round(avg(v), 6) as v from (select z, y, x, v from v where z % 2 = 0 union all select z, cast(y + 7 as int), x, v from v where z % 2 = 1) group by all")
 def stitch_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = views.voxels(spark, sf_dir)
-    return rounded(L.blend(v.where("z = 0").drop("z"), v.where("z = 1").drop("z"), 10, 3))
+    return rounded(L.blend(*_halves(views.voxels(spark, sf_dir)), 10, 3, ("pair",)))
 
 
 @query(f"with {_V} select z, y, x, v, 'a' as source from v where z < 3 union all select cast(z - 2 as int), y, x, -v, 'b' from v where z >= 5")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import stencils as S
-from ..operators import mesh, metadata
+from ..operators import flats, mesh, metadata
 from ..operators import volume as V
 from ..session import load
 from ..streaming import usage
@@ -48,7 +48,20 @@ def decompose_flats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def flow_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.voxels(S.apply_pairs(S.pairs_of(_planes(spark, sf_dir)), lambda a, b: S.flow_warped(a, b, 0.5, sigma=1.5, fine=1.0, coarse=4.0, rounds=20, shrink=1, most=3.0)))
+    return V.voxels(S.apply_pairs(S.pairs_of(_planes(spark, sf_dir)), lambda a, b: S.flow_warped(a, b, 0.5, sigma=1.5, spread=2.0, fine=1.0, coarse=4.0, rounds=20, shrink=1, most=3.0)))
+
+
+@query()
+def separated_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.voxels(S.apply_pairs(S.pairs_of(_planes(spark, sf_dir)), lambda a, b: S.separated_warped(a, b, 0.5, sigma=1.5, spread=2.0, coarse=4.0, rounds=20, shrink=1, most=3.0)))
+
+
+@query()
+def residual_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each plane with the ones before and behind it as flats."""
+    pairs = S.pairs_of(_planes(spark, sf_dir), 2)
+    middle = _planes(spark, sf_dir).select((F.col("z") - 1).alias("z"), F.col("pixels").alias("projection"))
+    return flats.residual_report(pairs.join(middle, "z"), 0.5, F.col("x") > 0, 1.5, 2.0)
 
 
 @query()
@@ -58,7 +71,7 @@ def transport_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def flat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.compare_pairs(S.pairs_of(_planes(spark, sf_dir)))
+    return flats.flat_report(S.pairs_of(_planes(spark, sf_dir)), 1.5)
 
 
 _SURFACE = (
@@ -78,21 +91,11 @@ def every_fourth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.every(views.voxels(spark, sf_dir), 3, 40, 4)
 
 
-@query(
-    "with m as (select source_file, type, mean, i0_move_x, i0_move_y from frame_manifest where not isnan(mean) and abs(mean) < 1e300) select source_file, count(*) filter (where type = 'white') as whites, count(*) filter (where type = 'dark') as darks, "
-    "round((max(mean) filter (where type = 'white') - min(mean) filter (where type = 'white')) / avg(mean) filter (where type = 'white'), 6) as spread, max(coalesce(abs(i0_move_x), 0) + coalesce(abs(i0_move_y), 0)) = 0 as zero_move from m group by source_file"
-)
-def reference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = load(spark, sf_dir, "frame_manifest").where("not isnan(mean) and abs(mean) < 1e300")
-    return metadata.file_report(m).withColumn("spread", F.round("spread", 6))
-
-
 @query(
     "with m as (select source_file, type, case when not isnan(mean) and abs(mean) < 1e300 then mean end as mean, i0_move_x, i0_move_y from frame_manifest) select source_file, count(*) filter (where type = 'white') as whites, count(*) filter (where type = 'dark') as darks, "
     "round((max(mean) filter (where type = 'white') - min(mean) filter (where type = 'white')) / avg(mean) filter (where type = 'white'), 6) as spread, max(coalesce(abs(i0_move_x), 0) + coalesce(abs(i0_move_y), 0)) = 0 as zero_move from m group by source_file"
 )
-def reference_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`reference_report`, whose SQL is kept at frames with a usable mean, over every frame."""
+def reference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.file_report(load(spark, sf_dir, "frame_manifest")).withColumn("spread", F.round("spread", 6))
 
 

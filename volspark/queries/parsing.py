@@ -183,17 +183,32 @@ def merged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.merged_nodes(o.select((F.col("o_custkey") % 3).alias("priority"), F.col("o_orderkey").alias("ord"), _text("n", "$m").alias("name")))
 
 
+#: Documents with faults that follow from a part's size; the same text in both dialects.
+_DOC = (
+    "'{' || case when p_size % 11 = 0 then '' else '\"num_channels\": ' || (p_size % 3) || ', ' end || '\"type\": \"' || case when p_size % 3 = 0 then 'mesh' else 'image' end || '\", \"data_type\": \"' || case when p_size % 4 = 0 then 'word' else 'uint8' end"
+    " || '\", \"scales\": [{\"key\": \"' || case when p_size % 5 = 0 then '' else 'k' end || '\", \"encoding\": \"raw\", \"resolution\": [7, 7.5, 7], \"voxel_offset\": [0, 0' || case when p_size % 7 = 0 then '.5' else '' end || ', -1], \"size\": [' || (p_size % 6)"
+    " || ', 1, 1], \"chunk_sizes\": [[1, 1, ' || (p_size % 2) || ']]}' || case when p_size % 8 = 0 then ', 3' else '' end || ']}'"
+)
+
+
 @query(
-    "select p_partkey, list_filter([case when p_size % 3 = 0 then 'unknown data_type' end, case when p_size % 5 = 0 then 'a scale needs a key' end, case when p_size % 7 = 0 then 'size must have three numbers' end, "
-    "case when p_size % 4 = 0 then 'chunk_sizes must be above 0' end], lambda m: m is not null) as errors from part"
+    "select p_partkey, list_filter([case when p_size % 11 = 0 then 'missing info field: num_channels' end, case when p_size % 3 = 0 then 'unsupported layer type: ''mesh''' end, case when p_size % 4 = 0 then 'invalid data_type: ''word''' end, "
+    "case when p_size % 11 = 0 then 'invalid num_channels: None' when p_size % 3 = 0 then 'invalid num_channels: 0' end, case when p_size % 5 = 0 then 'mip 0: key must be a non-empty string' end, "
+    "case when p_size % 7 = 0 then 'mip 0: voxel_offset entries must be integer' end, case when p_size % 6 = 0 then 'mip 0: size entries must be positive' end, case when p_size % 2 = 0 then 'mip 0: invalid chunk_sizes' end, "
+    "case when p_size % 8 = 0 then 'mip 1: scale must be an object' end], lambda m: m is not null) as errors from part"
 )
-def scale_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("p_size")
-    e = A.scale_errors(
-        F.when(s % 3 == 0, "word").otherwise("uint8"), F.when(s % 5 == 0, "").otherwise("k"), F.when(s % 7 == 0, F.array(s, s)).otherwise(F.array(s, s, s)),
-        F.array(s % 4, F.lit(1), F.lit(1)), F.array(F.lit(7.0), F.lit(7.0), F.lit(7.0)), ["uint8", "uint16"],
-    )
-    return _part(spark, sf_dir).select("p_partkey", e.alias("errors"))
+def info_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part(spark, sf_dir).select("p_partkey", A.info_errors(F.expr(_DOC)).alias("errors"))
+
+
+@query(
+    "select p_partkey, case when p_size % 4 = 0 then 'jpeg' when kind = 'image' then 'raw' when kind = 'segmentation' and source = 'raw' then 'compressed_segmentation' else source end as encoding from "
+    "(select *, ['image', 'segmentation', 'other'][p_size % 3 + 1] as kind, ['raw', 'png'][p_partkey % 2 + 1] as source from part)"
+)
+def layer_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.get(F.array(*map(F.lit, ("image", "segmentation", "other"))), F.col("p_size") % 3)
+    source = F.get(F.array(F.lit("raw"), F.lit("png")), (F.col("p_partkey") % 2).cast("int"))
+    return _part(spark, sf_dir).select("p_partkey", X.layer_encoding(F.when(F.col("p_size") % 4 == 0, "jpeg").otherwise("auto"), kind, source).alias("encoding"))
 
 
 @query(
@@ -207,36 +222,17 @@ def field_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.field_differences(expected, actual)
 
 
-@query("select p_partkey as ord, p_size as done, least(max(p_size) over (order by p_partkey), 45) as shown from part where p_partkey < 500")
-def progress_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.tally(_part(spark, sf_dir).where("p_partkey < 500").select(F.col("p_partkey").alias("ord"), F.col("p_size").alias("done")), 45)
-
-
 @query("select p_partkey as ord, p_size as done, least(max(p_size) over (order by p_partkey), 45) as shown from part")
-def progress_tally_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`progress_tally`, whose SQL is kept at 500 ids, over every row."""
+def progress_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.tally(_part(spark, sf_dir).select(F.col("p_partkey").alias("ord"), F.col("p_size").alias("done")), 45)
 
 
-@query(
-    f"with {_V} select distinct x // 4 as bx, y // 4 as by, z // 4 % 4 as bz, cast(((x // 4) & 1) + ((y // 4) & 1) * 2 + ((z // 4 % 4) & 1) * 4 + ((x // 4) >> 1) * 8 + ((y // 4) >> 1) * 16 + ((z // 4 % 4) >> 1) * 32 as bigint) as id, "
-    "cast(((y // 4) >> 1) * 1 + ((z // 4 % 4) >> 1) * 2 as bigint) as shard from v"
-)
-def shard_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = views.voxels(spark, sf_dir)
-    at = lambda c: F.floor(F.col(c) / 4).cast("int")
-    b = v.select(at("x").alias("bx"), at("y").alias("by"), F.pmod(at("z"), F.lit(4)).alias("bz")).distinct()
-    grid = (3, 3, 4)
-    rows = b.withColumn("id", sharded.chunk_id(grid, F.col("bx"), F.col("by"), F.col("bz")))
-    return rows.withColumn("shard", sharded.shard_of(F.col("id"), (2, 2, 2)))
-
-
 @query(
     f"with {_V}, b as (select distinct x // 4 as i, y // 4 as j, z // 4 as k from v), "
     "c as (select *, cast((i & 1) + (j & 1) * 2 + (k & 1) * 4 + (i >> 1) * 8 + (j >> 1) * 16 + ((k >> 1) & 1) * 32 + (k >> 2) * 64 as bigint) as id from b) select i as bx, j as by, k as bz, id, id // 16 as shard from c"
 )
-def shard_ids_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`shard_ids`, whose SQL is kept at a grid 4 deep, for every block of the volume; 16 chunks a shard and 4 a minishard, as there."""
+def shard_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block of the volume, 16 chunks a shard and 4 a minishard."""
     v = views.voxels(spark, sf_dir)
     grid = tuple(-(-n // 4) for n in reversed(V.shape(v)))
     at = lambda c: F.floor(F.col(c) / 4).cast("int")

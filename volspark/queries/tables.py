@@ -148,9 +148,9 @@ def path_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.path_moves(paths, existing)
 
 
-@query(f"with {_F} select parent, sha256(string_agg(name || ':' || size, ',' order by name)) as fingerprint from f group by parent")
+@query(f"with {_F} select parent, sha256('[' || string_agg('[\"' || name || '\",' || size || ',' || file_id * 1000003 || ']', ',' order by name) || ']') as fingerprint from f group by parent")
 def tree_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.file_fingerprints(views.files(spark, sf_dir))
+    return A.file_fingerprints(views.files(spark, sf_dir).withColumn("mtime_ns", F.col("file_id") * 1000003))
 
 
 @query(f"with {_F} select parent, min(file_id) as first, max(file_id) as last, max(file_id) - min(file_id) as span from f group by parent")
@@ -167,8 +167,8 @@ def clean_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # names -------------------------------------------------------------------------------------------------------------
 @query(
-    f"with {_F} select parent, name, row_number() over (order by k) as place from (select parent, name, array_to_string(list_transform(regexp_extract_all(lower(parent || '/' || name), '[0-9]+|[^0-9]+'), "
-    "lambda p: case when regexp_matches(p, '^[0-9]') then lpad(p, 20, '0') else p end), '') as k from f)"
+    f"with {_F} select parent, name, row_number() over (order by k) as place from (select parent, name, list_transform(regexp_extract_all(lower(parent || '/' || name), '[0-9]+|[^0-9]+'), "
+    "lambda p: case when regexp_matches(p, '^[0-9]') then {'n': 0, 'v': cast(p as hugeint), 't': ''} else {'n': 1, 'v': 0::hugeint, 't': p} end) as k from f)"
 )
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.ordering import with_positions

@@ -279,14 +279,9 @@ def pipeline_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec.run_range(v, FLAGSHIP, V.shape(v), 2, 5)
 
 
-@query(_mip_sql("z", 3).replace("from events)", "from events where event_id >= 300 and event_id < 800)"))
-def mip_z_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.sliding_max(views.voxels(spark, sf_dir, planes=(3, 8)), "z", 3)
-
-
 @query(_mip_sql("z", 3))
 def mip_z_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As `mip_z`, in up to eight consecutive ranges of output planes, each from the input planes it needs; the SQL of `mip_z_planes` is kept at one range."""
+    """As `mip_z`, in up to eight consecutive ranges of output planes, each from the input planes it needs."""
     depth = V.shape(views.voxels(spark, sf_dir))[0]
     s = spec.PipelineSpec(mip=3)
     out = max(0, s.output_depth(depth))
