@@ -77,3 +77,10 @@ def test_a_text_of_many_blocks(spark):
         assert "".join(r.fresh for r in by[k]) == text
         assert all(b.first_token == a.end_token - splitting.OVERLAP for a, b in zip(by[k], by[k][1:]))
         assert all(splitting.LIMIT - 4 <= r.end_token - r.first_token <= splitting.LIMIT for r in by[k][:-1])
+
+
+def test_no_text_is_copied_for_its_pieces(spark):
+    """What the last join moves grows with the texts: it holds each text once, with its cuts."""
+    df = spark.createDataFrame([(1, "word and more. " * 3000)], "doc_id bigint, text string")
+    plan = splitting.split(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join Inner")  # the pieces are cut above the join

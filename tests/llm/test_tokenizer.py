@@ -20,6 +20,9 @@ NASTY = [
     "naïve café Ünïcode ÿ",
     "🔥😍👍" * 700,
     "a" * 3000,
+    "a" * 100_001,
+    "".join(random.Random(3).choices("acgt", k=30_000)),
+    "".join(random.Random(4).choices("ab", k=2000)),
     "また買いたいと思います。" * 40,
     "é ​﻿­ zero width",
     "123456789 ١٢٣ ½ ²",
@@ -62,3 +65,17 @@ def test_repeated_rows_and_empty_tables(spark, library):
 def test_decoding_unknown_ids_gives_null(spark):
     df = spark.createDataFrame([([15496, 995],), ([50256],), ([-1],), ([],), (None,)], "ids array<int>")
     assert [r[0] for r in df.select(tokenizer.decode(F.col("ids"))).collect()] == ["Hello world", None, None, "", None]
+
+
+def test_a_hot_word_is_spread(spark, library):
+    df = spark.createDataFrame([(i, "qqzzxx " * 5 + f"wvut{i}") for i in range(60)], "doc_id bigint, text string")
+    places = spark.createDataFrame([(i, i, 0, "hot" if i % 3 else f"w{i}") for i in range(90)], "k1 bigint, k2 bigint, pos int, b string")
+    ids = places.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("ids", F.array(F.lit(1)))
+    spread, copies = tokenizer._salted(places, ids, 10)
+    assert spread.where("b = 'hot'").select("salt").distinct().count() == copies.where("b = 'hot'").count() == 6 and copies.where("b <> 'hot'").count() == 30
+    assert spread.join(copies, ["b", "salt"]).count() == 90
+    before, tokenizer.WORD_ROWS = tokenizer.WORD_ROWS, 7
+    try:
+        assert all(r.ids == library.encode_ordinary(r.text) for r in tokenizer.encode(df).collect())
+    finally:
+        tokenizer.WORD_ROWS = before

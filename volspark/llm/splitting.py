@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from ..operators.ordering import running_total
 from ..session import written
-from .tokenizer import PATTERN, VOCABULARY, encode_words, joined_pieces, piece_bytes
+from .tokenizer import PATTERN, VOCABULARY, _let, encode_words, joined_pieces, piece_bytes
 
 LIMIT, OVERLAP = 1200, 64
 #: A word of more tokens than this may be cut inside, where characters end.
@@ -118,12 +118,18 @@ def split(documents: DataFrame, doc: str = "doc_id", text: str = "text", limit:
     steps = cuts.join(successors, ["_key", "at"])
     byte = nodes.select("_key", "at", "byte")
     steps = steps.join(byte, ["_key", "at"]).join(byte.select("_key", F.col("at").alias("next"), F.col("byte").alias("_to")), ["_key", "next"])
-    number = F.row_number().over(W.partitionBy("_key").orderBy("at"))
-    steps = steps.withColumn("piece_no", number).withColumn("first_token", F.when(F.col("at") == 0, F.lit(0)).otherwise(F.greatest(F.col("at") - overlap, F.lit(0))))
-    rows = steps.join(encoded.withColumn("_ids", F.flatten(F.transform("_words", lambda w: w["ids"]))), "_key")
-    raw = F.encode(F.col(text), "UTF-8")
-    fresh = F.substring(raw, (F.col("byte") + 1).cast("int"), (F.col("_to") - F.col("byte")).cast("int")).cast("string")
-    ids = F.slice("_ids", (F.col("first_token") + 1).cast("int"), (F.col("next") - F.col("first_token")).cast("int"))
-    shared_ids = F.slice("_ids", (F.col("first_token") + 1).cast("int"), (F.col("at") - F.col("first_token")).cast("int"))
-    shared = F.encode(F.regexp_replace(joined_pieces(shared_ids, path), "^[\u0080-¿]+", ""), "ISO-8859-1").cast("string")
-    return rows.select(doc, "piece_no", "first_token", F.col("next").alias("end_token"), ids.alias("ids"), fresh.alias("fresh"), F.concat(shared, fresh).alias("piece"))
+    # the cuts come to the text, not the text to each cut: what is moved grows as the texts
+    cuts = F.array_sort(F.collect_list(F.struct("at", "next", "byte", F.col("_to").alias("to"))))
+    texts = encoded.join(steps.groupBy("_key").agg(cuts.alias("_cuts")), "_key").select(doc, F.encode(F.col(text), "UTF-8").alias("_raw"), "_words", "_cuts")
+
+    def piece(ids: Column, c: Column, i: Column) -> Column:
+        first = F.when(c["at"] == 0, F.lit(0)).otherwise(F.greatest(c["at"] - overlap, F.lit(0)))
+        part = lambda a, b: F.slice(ids, (a + 1).cast("int"), (b - a).cast("int"))
+        fresh = F.substring(F.col("_raw"), (c["byte"] + 1).cast("int"), (c["to"] - c["byte"]).cast("int")).cast("string")
+        return F.struct((i + 1).alias("piece_no"), first.alias("first_token"), c["next"].alias("end_token"), part(first, c["next"]).alias("ids"), fresh.alias("fresh"), part(first, c["at"]).alias("shared"))
+
+    flat = F.flatten(F.transform("_words", lambda w: w["ids"]))
+    pieces = _let(flat, lambda ids: F.transform("_cuts", lambda c, i: piece(ids, c, i)))
+    rows = texts.select(doc, F.explode(pieces).alias("p")).select(doc, "p.*")
+    shared = F.encode(F.regexp_replace(joined_pieces(F.col("shared"), path), "^[\u0080-¿]+", ""), "ISO-8859-1").cast("string")
+    return rows.select(doc, "piece_no", "first_token", "end_token", "ids", "fresh", F.concat(shared, "fresh").alias("piece"))

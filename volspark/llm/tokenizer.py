@@ -51,13 +51,6 @@ def _piece_json(path: str) -> str:
     return json.dumps(by_id)
 
 
-@lru_cache(maxsize=4)
-def _pair_text(path: str) -> str:
-    """A digit for each pair of bytes: 1 if they stand together in any piece."""
-    pairs = {ord(a) * 256 + ord(b) for piece in ranks(path) for a, b in zip(piece, piece[1:])}
-    return "".join("1" if k in pairs else "0" for k in range(1 << 16))
-
-
 def rank_literal(path: str = VOCABULARY) -> Column:
     """Folded into one literal when the query is optimized."""
     return F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>")
@@ -88,65 +81,71 @@ def latin(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), LATIN)
 
 
-def segments(word: Column, path: str = VOCABULARY) -> Column:
-    """The parts of a word between which no merge can happen, as no piece holds the two bytes that meet there.
-
-    So the merges of each part are those of the word, and a long run of signs, whose merges would take the square of its length, falls apart.
-    """
-    together = F.split(F.lit(_pair_text(path)), "")
-    codes = F.transform(F.split(word, ""), lambda letter: F.ascii(letter))
-    inner = F.when(F.length(word) > 1, F.sequence(F.lit(1), F.length(word) - 1)).otherwise(F.array().cast("array<int>"))
-    cuts = _let(codes, lambda cs: F.filter(inner, lambda i: F.get(together, F.get(cs, i - 1) * 256 + F.get(cs, i)) == "0"))
-    ends = F.concat(F.array(F.lit(0)), cuts, F.array(F.length(word)))
-    return _let(ends, lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda k: F.substring(word, F.get(e, k - 1) + 1, F.get(e, k) - F.get(e, k - 1))))
+#: Signs beyond the code points of bytes: one on each side of every piece, one between two pieces of a pair.
+_EDGE, _PAIR = "\u0100", "\u0101"
 
 
 def merged(word: Column, look: Callable[[Column], Column]) -> Column:
     """The pieces of a word after all merges: array<string>.
 
-    The state holds the pieces and the rank of each neighbouring pair (null: no piece); a step merges the first pair of lowest rank
-    and looks up the two pairs that are new.
+    A step of the fold merges all places of the pair of lowest rank by one replacement, so it takes as many steps as kinds of merges, each in time by the length.
+
+    That is the same as merging them one by one from the left if no other pair has that rank, and none of a lower rank arises: neither in the result nor while the
+    next place still stands unmerged (the pair's text and its first piece once more). Where it isn't, the step merges the leftmost place alone.
     """
-    letters = F.split(word, "")
-    pairs = lambda a: F.when(F.size(a) > 1, F.transform(F.sequence(F.lit(0), F.size(a) - 2), lambda i: look(F.concat(F.get(a, i), F.get(a, i + 1))))).otherwise(
-        F.array().cast("array<int>")
-    )
-    start = _let(letters, lambda a: F.struct(a.alias("p"), pairs(a).alias("r")))
-
-    def at(state: Column, place: Column) -> Column:
-        p, r = state["p"], state["r"]
-        n = F.size(p)
-        both = F.concat(F.get(p, place - 1), F.get(p, place))
-        before = F.when(place > 1, F.array(look(F.concat(F.get(p, place - 2), both)))).otherwise(F.array().cast("array<int>"))
-        after = F.when(place + 1 < n, F.array(look(F.concat(both, F.get(p, place + 1))))).otherwise(F.array().cast("array<int>"))
-        pieces = F.concat(F.slice(p, F.lit(1), place - 1), F.array(both), F.slice(p, place + 2, n))
-        rest = F.concat(F.slice(r, F.lit(1), F.greatest(place - 2, F.lit(0))), before, after, F.slice(r, place + 2, n))
-        return F.struct(pieces.alias("p"), rest.alias("r"))
+    none = F.lit(None).cast("struct<rank:int,x:string,y:string,several:boolean>")
 
-    def step(state: Column, _: Column) -> Column:
-        place = F.array_position(state["r"], F.array_min(state["r"])).cast("int")
-        return _let(place, lambda i: F.when(i > 0, at(state, i)).otherwise(state))
+    def best(state: Column) -> Column:
+        pieces = F.split(F.substring(state, F.lit(2), F.length(state) - 2), _EDGE + _EDGE)
+
+        def of(p: Column) -> Column:
+            kinds = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.concat(F.get(p, i - 1), F.lit(_PAIR), F.get(p, i))))
+            ranked = lambda ks: F.transform(ks, lambda k: look(F.replace(k, F.lit(_PAIR), F.lit(""))))
 
+            def lowest(ks: Column, rs: Column) -> Column:
+                low = F.array_min(rs)
+                kind = F.get(ks, F.array_position(rs, low).cast("int") - 1)
+                found = F.struct(low.alias("rank"), F.substring_index(kind, _PAIR, 1).alias("x"), F.substring_index(kind, _PAIR, -1).alias("y"), (F.size(F.filter(rs, lambda r: r == low)) > 1).alias("several"))
+                return F.when(low.isNotNull(), found)
+
+            return F.when(F.size(p) > 1, _let(kinds, lambda ks: _let(ranked(ks), lambda rs: lowest(ks, rs)))).otherwise(none)
+
+        return _let(pieces, of)
+
+    with_best = lambda text: _let(text, lambda t: F.struct(t.alias("t"), best(t).alias("b")))
+    edged = lambda *xs: F.concat(*[y for x in xs for y in (F.lit(_EDGE), x, F.lit(_EDGE))])
+
+    def step(state: Column, _: Column) -> Column:
+        t, b = state["t"], state["b"]
+        pair, whole = edged(b["x"], b["y"]), edged(F.concat(b["x"], b["y"]))
+        place = F.call_function("locate", pair, t)
+        first = F.concat(F.substring(t, F.lit(1), place - 1), whole, F.substring(t, place + F.length(pair), F.length(t)))
+        lone = ~b["several"] & (F.coalesce(look(F.concat(b["x"], b["y"], b["x"])), b["rank"]) >= b["rank"])
+        all_ = F.when(lone, with_best(F.replace(t, pair, whole)))
+        return F.when(b.isNull(), state).otherwise(_let(all_, lambda q: F.when(q.isNotNull() & (F.coalesce(q["b"]["rank"], b["rank"]) >= b["rank"]), q).otherwise(with_best(first))))
+
+    letters = F.array_join(F.transform(F.split(word, ""), lambda c: edged(c)), "")
     steps = F.when(F.length(word) > 1, F.sequence(F.lit(2), F.length(word))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda s: s["p"])
+    return F.aggregate(steps, with_best(letters), step, lambda s: F.split(F.substring(s["t"], F.lit(2), F.length(s["t"]) - 2), _EDGE + _EDGE))
 
 
 def word_ids(word: Column, path: str = VOCABULARY) -> Column:
-    """The ids of a word; a segment that occurs again and again is merged once."""
+    """The ids of a word."""
+    return with_ranks(lambda look: _let(merged(word, look), lambda pieces: F.transform(pieces, lambda p: look(p))), path)
+
+
+#: A word that stands in more rows than this and than a HOT_SHARE-th of all is met in several tasks; so there are at most HOT_SHARE of them.
+WORD_ROWS, HOT_SHARE = 100_000, 1000
 
-    def own(look: Callable[[Column], Column]) -> Column:
-        return _let(
-            segments(word, path),
-            lambda parts: _let(
-                F.array_distinct(parts),
-                lambda different: _let(
-                    F.transform(different, lambda s: F.transform(merged(s, look), look)),
-                    lambda ids: F.flatten(F.transform(parts, lambda s: F.get(ids, F.array_position(different, s).cast("int") - 1))),
-                ),
-            ),
-        )
 
-    return with_ranks(own, path)
+def _salted(places: DataFrame, ids: DataFrame, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `salt`, by which the places of a hot word are spread and its ids repeated."""
+    total = ids.agg(F.sum("n")).first()[0] or 0
+    size = max(rows or WORD_ROWS, total // HOT_SHARE + 1)
+    pieces = F.ceil(F.col("n") / size).cast("int")
+    hot = places.sparkSession.createDataFrame(ids.where(F.col("n") > size).select("b", pieces.alias("pieces")).collect(), "b string, pieces int")
+    spread = places.join(F.broadcast(hot), "b", "left").withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
+    return spread, ids.withColumn("salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
 
 
 def _encoded(df: DataFrame, text: str, path: str) -> DataFrame:
@@ -164,9 +163,10 @@ def _encoded(df: DataFrame, text: str, path: str) -> DataFrame:
     rows = written(rows.select("r", "k1", "k2", one.alias("one"), many.alias("many")), "words")
     places = rows.select("k1", "k2", F.explode("many").alias("m")).select("k1", "k2", "m.pos", "m.b")
     # a number of partitions that is stated isn't reduced by size: the words are few bytes but much work
-    distinct = places.select("b").distinct().repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("b"))
-    ids = written(distinct.select("b", word_ids(F.col("b"), path).alias("ids")), "ids")
-    found = places.join(ids, "b").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "ids")).alias("found"))
+    distinct = places.groupBy("b").agg(F.count(F.lit(1)).alias("n")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("b"))
+    ids = written(distinct.select("b", "n", word_ids(F.col("b"), path).alias("ids")), "ids")
+    spread, copies = _salted(places, ids)
+    found = spread.join(copies, ["b", "salt"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "ids")).alias("found"))
     whole = rows.where(F.size("many") == 0).select("r", F.col("one").alias("w"))
     parts = rows.where(F.size("many") > 0).join(found, ["k1", "k2"]).select("r", F.array_sort(F.concat("one", "found")).alias("w"))
     return whole.unionByName(parts)
