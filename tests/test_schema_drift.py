@@ -69,19 +69,37 @@ def test_leaves_of_odd_bodies():
 
 
 def test_one_table_and_failed_casts(spark):
-    rows = [
-        (1, "s", "p", None, '{"storage": {"inner": "old", "has_scan": "maybe"}, "scan": {"energy": "30kV", "window_size": 8}}', 1, "x"),
-        (2, "s", "p", None, '{"storage": {"inner_comment": "new", "has_scan": true}, "scan": {"energy": 30.5, "window_size": 8.0}}', 1, "x"),
-        (3, "s", "p", None, "broken", 1, "x"),
-    ]
+    at = datetime(2020, 1, 1)
+    # storage.inner became storage.inner_comment in three samples; scan.a and scan.b exchange a value once only; x and y stand together
+    rows = []
+    for k in range(3):
+        rows += [
+            (10 * k, f"s{k}", "p", at, json.dumps({"storage": {"inner": f"t{k}", "has_scan": True, "a": 7 + k}, "scan": {"energy": 30 + k, "x": f"u{k}", "y": f"v{k}"}}), 1, "x"),
+            (10 * k + 1, f"s{k}", "p", at + timedelta(1), json.dumps({"storage": {"inner_comment": f"t{k}", "has_scan": False, "a": 1}, "scan": {"energy": 30.5, "x": "q", "y": f"u{k}"}}), 1, "x"),
+            (10 * k + 2, f"s{k}", "p", at + timedelta(2), json.dumps({"storage": {"inner_comment": f"w{k}", "has_scan": "maybe" if k == 0 else True}, "scan": {"energy": "30kV" if k == 1 else 2}}), 1, "x"),
+        ]
+    rows += [(40, "t", "p", at, "broken", 1, "x"), (41, "t", "p", at, None, 1, "x")]
     maps = sd.drift_tables(spark.createDataFrame(rows, SCHEMA))
-    one, two = sorted(sd.project_fields(maps).collect())
-    assert (one.inner_comment, one.has_scan, one.energy, one.window_size, one.failed_casts) == ("old", None, None, 8, ["has_scan", "energy"])
-    assert (two.inner_comment, two.has_scan, two.energy, two.window_size, two.failed_casts) == ("new", True, 30.5, 8, [])
+    columns = sd.resolved_columns(maps)
+    assert {n: (k, ps) for n, k, ps in columns} == {
+        "storage_inner_comment": ("string", ["storage.inner_comment", "storage.inner"]), "storage_has_scan": ("boolean", ["storage.has_scan"]), "storage_a": ("double", ["storage.a"]),
+        "scan_energy": ("double", ["scan.energy"]), "scan_x": ("string", ["scan.x"]), "scan_y": ("string", ["scan.y"]),
+    }
+    out = {r.conf_id: r for r in sd.project_fields(maps, columns).collect()}
+    assert out[0].storage_inner_comment == "t0" and out[1].storage_inner_comment == "t0" and out[2].failed_casts == ["storage_has_scan"] and out[12].failed_casts == ["scan_energy"]
+    assert out[12].scan_energy is None and [tuple(x) for x in out[12]["rest"]] == [("scan.energy", "string", "30kV")] and out[0].readable
+    assert not out[40].readable and not out[41].readable and out[40].scan_energy is None and len(out) == len(rows)
     stats = {(r.path, r.type): r.files for r in sd.path_statistics(maps, []).collect()}
-    assert stats[("scan.energy", "string")] == stats[("scan.energy", "number")] == 1 and stats[("scan.window_size", "number")] == 2
+    assert stats[("scan.energy", "string")] == 1 and stats[("scan.energy", "number")] == 8
+
+
+def test_values_that_many_fields_share_link_none(spark):
+    at = datetime(2020, 1, 1)
+    rows = [(i, "s", "p", at + timedelta(i), json.dumps({"a": True, "b": True} if i % 2 else {"c": True, "d": 5}), 1, "x") for i in range(8)]
+    maps = sd.drift_tables(spark.createDataFrame(rows, SCHEMA))
+    assert sd.rename_links(maps).count() == 0 and [ps for _, _, ps in sd.resolved_columns(maps)] == [["a"], ["b"], ["c"], ["d"]]
 
 
 def test_empty(spark):
     maps = sd.drift_tables(spark.createDataFrame([], SCHEMA))
-    assert sd.changes(maps).count() == sd.project_fields(maps).count() == 0
+    assert sd.resolved_columns(maps) == [] and sd.changes(maps).count() == sd.project_fields(maps, []).count() == 0

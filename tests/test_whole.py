@@ -30,9 +30,9 @@ def test_one_table_loses_no_leaf(spark):
     maps = sd.drift_tables(spark.createDataFrame([(i, "s", None, json.dumps(b)) for i, b in enumerate(bodies)], "conf_id bigint, sample_id string, written_at timestamp, body string"))
     columns = sd.resolved_columns(maps)
     rows = {r.conf_id: r.asDict() for r in sd.project_fields(maps, columns).collect()}
-    assert (rows[0]["inner_comment"], rows[0]["has_scan"], rows[0]["scan_tilt_deg"], rows[0]["failed_casts"]) == ("b", False, 1.5, ["energy"])
-    assert (rows[1]["inner_comment"], rows[1]["scan_stage_note"], rows[2]["comment"], rows[2]["conf_id_2"], rows[2]["x_y_note"]) == ("c", "4", '["r"]', 7, "deep")
-    assert {tuple(x) for x in rows[0]["rest"]} == {("storage.inner", "string", "a"), ("scan.energy", "string", "30kV")}
+    assert (rows[0]["storage_inner"], rows[0]["storage_hasscan"], rows[0]["scan_tilt_deg"]) == ("a", "no", 1.5)
+    assert (rows[2]["storage_remarks"], rows[2]["conf_id_2"], rows[2]["x_y_note"]) == ('["r"]', 7, "deep")
+    assert ("scan.tilt.deg", "number", "12345678901234567890") in {tuple(x) for x in rows[1]["rest"]}
     named = {n: ps for n, _, ps in columns}
     for i, b in enumerate(bodies):
         left = {x.path: (x.type, x.value) for x in rows[i]["rest"]}
@@ -50,8 +50,8 @@ def test_table_of_p5_has_every_leaf(spark):
     columns = {n: ps for n, _, ps in sd.resolved_columns(maps)}
     fields = {r.conf_id: r.fields for r in maps.where("fields is not null").collect()}
     rows = entry.queries()["p5_table"](spark, SF).collect()
-    assert len(rows) == len(fields)
-    for r in rows:
+    assert sum(r.readable for r in rows) == len(fields) < len(rows) == maps.count()
+    for r in [r for r in rows if r.readable]:
         left = {x.path for x in r["rest"]}
         for path, leaf in fields[r.conf_id].items():
             assert path in left or (leaf.value is not None and any(path in ps and r[n] is not None for n, ps in columns.items())), (r.conf_id, path)

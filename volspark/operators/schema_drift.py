@@ -103,80 +103,102 @@ def path_statistics(maps: DataFrame, by: list[str]) -> DataFrame:
     return leaf.groupBy(*by, "path", F.col("leaf.type").alias("type")).agg(F.count(F.lit(1)).alias("files"), F.min("conf_id").alias("first_file"), F.max("conf_id").alias("last_file"))
 
 
-#: Columns of the one table: name, type, and the paths that have carried it, the newest name first.
-COLUMNS: list[tuple[str, str, list[str]]] = [
-    ("project", "string", ["storage.project"]),
-    ("trip_dir", "string", ["storage.trip_dir"]),
-    ("comment", "string", ["storage.comment"]),
-    ("inner_comment", "string", ["storage.inner_comment", "storage.inner"]),
-    ("outer_comment", "string", ["storage.outer_comment", "storage.outer"]),
-    ("has_scan", "boolean", ["storage.has_scan"]),
-    ("override_input", "string", ["storage.override_input"]),
-    ("sample", "string", ["sample.id"]),
-    ("scan_id", "string", ["scan.id"]),
-    ("energy", "double", ["scan.energy"]),
-    ("window_size", "int", ["scan.window_size"]),
-]
-
-
-#: Names that a drifting field has carried in any section, without case and signs between words.
-NAMES = {
-    "comment": ["comment", "note", "remarks"],
-    "inner_comment": ["innercomment", "commentinner", "inner", "innernote"],
-    "outer_comment": ["outercomment", "commentouter", "outer", "outernote", "batchcomment"],
-    "has_scan": ["hasscan", "withscan", "scandone"],
-}
-_FIELD = {name: field for field, names in NAMES.items() for name in names}
-_KEYS = ("conf_id", "sample_id", "written_at")
-
-
-def resolved_columns(maps: DataFrame, most: int = 200) -> list[tuple[str, str, list[str]]]:
-    """The columns of the one table, decided by the statistics of all files: those of `COLUMNS` with every spelling and section of their
-    fields, then a column for each other field, by name.
-
-    A field of one type has that type, one of several is a string. Statistics come to the driver for the 10,000 most frequent pairs of path and
-    type, and the `most` most frequent other fields get columns; what is beyond stays in `rest` of `project_fields`.
+def _pairs(maps: DataFrame, group: str, order: tuple[str, ...]) -> DataFrame:
+    """(conf_id, _old, _new): the fields of each readable file and of the one before it in its group.
+
+    Files of a group are neighbours in one sorted order of all files, and meet their neighbour by an equi-join on their positions, so a group
+    may be as large as it will.
     """
-    stats = path_statistics(maps, []).select("path", "type", "files").orderBy(F.desc("files"), "path", "type").limit(10_000).collect()
-    paths = {n: list(ps) for n, _, ps in COLUMNS}
-    known = {p for ps in paths.values() for p in ps}
-    others: dict[str, dict] = {}
+    rows = with_positions(maps.where(f"fields is not null and {group} is not null").select(group, *order, "fields"), [group, *order])
+    before = rows.select((F.col("_pos") + 1).alias("_pos"), F.col(group).alias("_g"), F.col("fields").alias("_old"))
+    return rows.join(before, "_pos").where(F.col("_g") == F.col(group)).select("conf_id", "_old", F.col("fields").alias("_new"))
+
+
+def _only(here: str, there: str) -> Column:
+    return F.filter(F.map_entries(here), lambda e: ~F.array_contains(F.map_keys(there), e["key"]))
+
+
+def _telling(e: Column) -> Column:
+    """Whether a value says that two fields are one: neither null nor empty."""
+    return e["value"]["value"].isNotNull() & (e["value"]["value"] != "") & (e["value"]["type"] != "null")
+
+
+def rename_links(maps: DataFrame, group: str = "sample_id", order: tuple[str, ...] = ("written_at", "conf_id")) -> DataFrame:
+    """(old, new, files): how often one path took over the value of another from a file to the next, where both were the only ones with that value."""
+    entry = lambda side: F.explode(F.transform(F.filter(_only(*side), _telling), lambda e: F.struct(e["key"].alias("path"), e["value"]["type"].alias("t"), e["value"]["value"].alias("v"))))
+    pairs = _pairs(maps, group, order)
+    sides = [pairs.select("conf_id", entry(side).alias("e"), F.lit(k).alias("side")) for k, side in enumerate((("_old", "_new"), ("_new", "_old")))]
+    met = sides[0].unionByName(sides[1]).groupBy("conf_id", "e.t", "e.v").agg(*[x for k in (0, 1) for x in (F.count(F.when(F.col("side") == k, 1)).alias(f"n{k}"), F.max(F.when(F.col("side") == k, F.col("e.path"))).alias(f"p{k}"))])
+    return met.where("n0 = 1 and n1 = 1").groupBy(F.col("p0").alias("old"), F.col("p1").alias("new")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def _together(maps: DataFrame, paths: list[str]) -> DataFrame:
+    """(a, b, files): paths of the list, a before b, that stand in one file."""
+    there = F.array_sort(F.filter(F.map_keys("fields"), lambda k: k.isin(*paths)))
+    found = maps.where("fields is not null").select(F.posexplode(there).alias("i", "a"), there.alias("k")).select("a", F.explode(F.slice("k", F.col("i") + 2, F.size("k"))).alias("b"))
+    return found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("files"))
+
+
+KEYS = ("conf_id", "sample_id", "written_at")
+#: Paths and links between them of which the driver decides, the most frequent first; what is beyond stays in `rest`.
+MOST_PATHS, MOST_LINKS = 10_000, 2_000
+
+
+def resolved_columns(maps: DataFrame, most: int = 200, least_links: int = 2) -> list[tuple[str, str, list[str]]]:
+    """(name, type, paths): the columns of the one table, decided by the statistics of all files.
+
+    Paths are one field if one took over the other's value from a file to the next at least `least_links` times, the most frequent links first, and
+    if such a field's paths stand in one file in less than a hundredth of the files of the rarer one. A field is called after its most frequent path, and has
+    the type of most of its values; others are failed casts. Statistics come to the driver for the MOST_PATHS most frequent pairs of path and type;
+    the `most` most frequent fields get columns.
+    """
+    stats = path_statistics(maps, []).select("path", "type", "files").orderBy(F.desc("files"), "path", "type").limit(MOST_PATHS).collect()
+    kinds: dict[str, dict[str, int]] = {}
     for path, kind, files in stats:
-        section, _, name = path.rpartition(".")
-        field = _FIELD.get(re.sub(r"[\W_]", "", name).lower()) if "." not in section else None
-        if path in known:
-            continue
-        if field:
-            if path not in paths[field]:
-                paths[field].append(path)
-        else:
-            x = others.setdefault(path.replace("-", "_").lower(), {"files": 0, "kinds": set(), "paths": []})
-            x["files"] += files
-            x["kinds"] |= {kind} - {"null"}
-            if path not in x["paths"]:
-                x["paths"].append(path)
-    columns = [(n, kind, paths[n]) for n, kind, _ in COLUMNS]
-    taken = {*_KEYS, "fields", "failed_casts", "rest", *paths}
-    for key in sorted(sorted(others, key=lambda k: (-others[k]["files"], k))[:most]):
-        name = base = re.sub(r"\W", "_", key) or "_"
+        kinds.setdefault(path, {})[kind] = files
+    count = {p: sum(k.values()) for p, k in kinds.items()}
+    links: dict[tuple[str, str], int] = {}
+    for old, new, files in rename_links(maps).orderBy(F.desc("files"), "old", "new").limit(MOST_LINKS).collect():
+        if old in count and new in count:
+            links[tuple(sorted((old, new)))] = links.get(tuple(sorted((old, new))), 0) + files
+    linked = sorted({p for pair in links for p in pair})
+    both = {(a, b): n for a, b, n in _together(maps, linked).collect()} if linked else {}
+    field = {p: [p] for p in count}  # path to the paths of its field
+    for (a, b), files in sorted(links.items(), key=lambda x: (-x[1], x[0])):
+        one, other = field[a], field[b]
+        apart = all(100 * both.get(tuple(sorted((p, q))), 0) < min(count[p], count[q]) for p in one for q in other)
+        if files >= least_links and one is not other and apart:
+            for p in other:
+                field[p] = one
+            one += other
+    fields = {id(ps): sorted(ps, key=lambda p: (-count[p], p)) for ps in field.values()}.values()
+    chosen = sorted(fields, key=lambda ps: (-sum(count[p] for p in ps), ps[0]))[:most]
+    columns, taken = [], {*KEYS, "fields", "failed_casts", "rest", "readable"}
+    for paths in sorted(chosen):
+        name = base = re.sub(r"\W", "_", paths[0]).lower() or "_"
         k = 1
         while name in taken:
             k += 1
             name = f"{base}_{k}"
         taken.add(name)
-        kind = {frozenset({"number"}): "double", frozenset({"boolean"}): "boolean"}.get(frozenset(others[key]["kinds"]), "string")
-        columns.append((name, kind, others[key]["paths"]))
+        total: dict[str, int] = {}
+        for p in paths:
+            for kind, n in kinds[p].items():
+                total[kind] = total.get(kind, 0) + n
+        total.pop("null", None)
+        kind = max(total, key=lambda k: (total[k], k)) if total else "string"
+        columns.append((name, {"number": "double", "boolean": "boolean"}.get(kind, "string"), paths))
     return columns
 
 
-def project_fields(maps: DataFrame, columns: list[tuple[str, str, list[str]]] = COLUMNS) -> DataFrame:
-    """One row for each readable file with fixed typed columns, `failed_casts`: the columns whose text didn't become the type, and `rest`:
-    (path, type, value) of every leaf that no column carries, by path.
+def project_fields(maps: DataFrame, columns: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """One row for each file with fixed typed columns, `readable`, `failed_casts`: the columns whose text didn't become the type, and `rest`:
+    (path, type, value) of every leaf that no column carries, by path. A file that is no JSON object has nulls and is not readable.
 
     A column takes the first of its paths that is there and not null. The others of its paths, texts that didn't become the type, numbers of
     more digits than a double keeps, nulls and paths of no column are in `rest`, so no leaf is lost.
     """
-    rows = maps.where("fields is not null")
+    rows = maps.withColumn("readable", F.col("fields").isNotNull())
     there = lambda p: F.try_element_at("fields", p)["value"].isNotNull()
     rows = rows.withColumns({f"_p_{n}": F.get(F.filter(F.array(*[F.lit(p) for p in paths]), there), 0) for n, _, paths in columns})
     rows = rows.withColumns({f"_t_{n}": F.try_element_at("fields", F.col(f"_p_{n}"))["value"] for n, _, _ in columns})
@@ -186,28 +208,21 @@ def project_fields(maps: DataFrame, columns: list[tuple[str, str, list[str]]] =
     rows = rows.withColumn("_carried", F.array_compact(F.array(*[F.when(whole(n, kind), F.col(f"_p_{n}")) for n, kind, _ in columns])))
     left = F.filter(F.map_entries("fields"), lambda e: ~F.array_contains("_carried", e["key"]))
     rest = F.array_sort(F.transform(left, lambda e: F.struct(e["key"].alias("path"), e["value"]["type"].alias("type"), e["value"]["value"].alias("value"))))
-    return rows.select(*_KEYS, *[F.col(f"_c_{n}").alias(n) for n, _, _ in columns], failed.alias("failed_casts"), rest.alias("rest"))
+    return rows.select(*KEYS, "readable", *[F.col(f"_c_{n}").alias(n) for n, _, _ in columns], failed.alias("failed_casts"), rest.alias("rest"))
 
 
 def changes(maps: DataFrame, group: str = "sample_id", order: tuple[str, ...] = ("written_at", "conf_id")) -> DataFrame:
     """(conf_id, field, change): every difference between a readable file and the one before it in its group.
 
     `renamed` pairs a field that vanished with one that appeared with the same type and value, neither null nor empty; `removed`, `added`
-    and `type_changed` are the others. Files of a group are neighbours in one sorted order of all files, and meet their neighbour
-    by an equi-join on their positions, so a group may be as large as it will. Rows with a null group form none; a null time is the earliest.
+    and `type_changed` are the others. Rows with a null group form none; a null time is the earliest.
     """
-    rows = with_positions(maps.where(f"fields is not null and {group} is not null").select(group, *order, "fields"), [group, *order])
-    before = rows.select((F.col("_pos") + 1).alias("_pos"), F.col(group).alias("_g"), F.col("fields").alias("_old"))
-    pairs = rows.join(before, "_pos").where(F.col("_g") == F.col(group)).select("conf_id", "_old", F.col("fields").alias("_new"))
-    old, new = F.map_entries("_old"), F.map_entries("_new")
-    gone = F.filter(old, lambda e: ~F.array_contains(F.map_keys("_new"), e["key"]))
-    come = F.filter(new, lambda e: ~F.array_contains(F.map_keys("_old"), e["key"]))
-    telling = lambda e: e["value"]["value"].isNotNull() & (e["value"]["value"] != "") & (e["value"]["type"] != "null")
-    texts = lambda es: F.transform(F.filter(es, telling), lambda e: F.struct(e["value"]["type"].alias("t"), e["value"]["value"].alias("v")))
+    pairs = _pairs(maps, group, order)
     as_text = lambda e: F.struct(e["value"]["type"].alias("t"), e["value"]["value"].alias("v"))
-    rows = pairs.withColumns({"_gone": gone, "_come": come})
+    texts = lambda es: F.transform(F.filter(es, _telling), as_text)
+    rows = pairs.withColumns({"_gone": _only("_old", "_new"), "_come": _only("_new", "_old")})
     rows = rows.withColumns({"_gv": texts(F.col("_gone")), "_cv": texts(F.col("_come"))})
-    moved = lambda e, others: telling(e) & F.array_contains(F.col(others), as_text(e))
+    moved = lambda e, others: _telling(e) & F.array_contains(F.col(others), as_text(e))
     found = lambda es, change: F.transform(es, lambda e: F.struct(e["key"].alias("field"), F.lit(change).alias("change")))
     kept = F.filter(
         F.transform(F.map_entries("_new"), lambda e: F.struct(e["key"].alias("key"), e["value"]["type"].alias("now"), F.try_element_at("_old", e["key"])["type"].alias("was"))),
