@@ -30,7 +30,9 @@ def test_one_table_loses_no_leaf(spark):
     maps = sd.drift_tables(spark.createDataFrame([(i, "s", None, json.dumps(b)) for i, b in enumerate(bodies)], "conf_id bigint, sample_id string, written_at timestamp, body string"))
     columns = sd.resolved_columns(maps)
     rows = {r.conf_id: r.asDict() for r in sd.project_fields(maps, columns).collect()}
-    assert (rows[0]["storage_inner"], rows[0]["storage_hasscan"], rows[0]["scan_tilt_deg"]) == ("a", "no", 1.5)
+    assert (rows[0]["storage_inner"], rows[0]["storage_inner_comment"], rows[0]["scan_tilt_deg"]) == ("a", "b", 1.5)
+    spelled = next(ps for _, _, ps in columns if "storage.hasScan" in ps)
+    assert "sample.HAS_SCAN" in spelled and "scan.stage_note" in next(ps for _, _, ps in columns if "scan.Stage-Note" in ps)
     assert (rows[2]["storage_remarks"], rows[2]["conf_id_2"], rows[2]["x_y_note"]) == ('["r"]', 7, "deep")
     assert ("scan.tilt.deg", "number", "12345678901234567890") in {tuple(x) for x in rows[1]["rest"]}
     named = {n: ps for n, _, ps in columns}
@@ -47,7 +49,7 @@ def test_one_table_loses_no_leaf(spark):
 @needs_data
 def test_table_of_p5_has_every_leaf(spark):
     maps = sd.drift_tables(spark.read.parquet(f"{SF}/conf_files.parquet"))
-    columns = {n: ps for n, _, ps in sd.resolved_columns(maps)}
+    columns = {n: ps for n, _, ps in sd.resolved_columns(maps, apart=tuple(f"storage.{n}" for n in ("comment", "inner_comment", "outer_comment", "has_scan")))}
     fields = {r.conf_id: r.fields for r in maps.where("fields is not null").collect()}
     rows = entry.queries()["p5_table"](spark, SF).collect()
     assert sum(r.readable for r in rows) == len(fields) < len(rows) == maps.count()

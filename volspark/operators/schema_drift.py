@@ -144,11 +144,12 @@ KEYS = ("conf_id", "sample_id", "written_at")
 MOST_PATHS, MOST_LINKS = 10_000, 2_000
 
 
-def resolved_columns(maps: DataFrame, most: int = 200, least_links: int = 2) -> list[tuple[str, str, list[str]]]:
+def resolved_columns(maps: DataFrame, most: int = 200, least_links: int = 2, apart: tuple[str, ...] = ()) -> list[tuple[str, str, list[str]]]:
     """(name, type, paths): the columns of the one table, decided by the statistics of all files.
 
-    Paths are one field if one took over the other's value from a file to the next at least `least_links` times, the most frequent links first, and
-    if such a field's paths stand in one file in less than a hundredth of the files of the rarer one. A field is called after its most frequent path, and has
+    Paths are one field if one took over the other's value from a file to the next at least `least_links` times, the most frequent links first, or if their last
+    names are the same but for case and signs; but only if such a field's paths stand in one file in less than a hundredth of the files of the rarer one,
+    and if it has no two of the paths `apart`, which the caller knows to be different fields. A field is called after its most frequent path, and has
     the type of most of its values; others are failed casts. Statistics come to the driver for the MOST_PATHS most frequent pairs of path and type;
     the `most` most frequent fields get columns.
     """
@@ -161,13 +162,19 @@ def resolved_columns(maps: DataFrame, most: int = 200, least_links: int = 2) ->
     for old, new, files in rename_links(maps).orderBy(F.desc("files"), "old", "new").limit(MOST_LINKS).collect():
         if old in count and new in count:
             links[tuple(sorted((old, new)))] = links.get(tuple(sorted((old, new))), 0) + files
+    links = {k: n for k, n in links.items() if n >= least_links}
+    alike: dict[str, str] = {}
+    for p in sorted(count, key=lambda p: (-count[p], p)):  # each spelling is linked to the most frequent one
+        first = alike.setdefault(re.sub(r"[\W_]", "", p.rpartition(".")[2]).lower(), p)
+        if first != p:
+            links.setdefault(tuple(sorted((first, p))), 0)
     linked = sorted({p for pair in links for p in pair})
     both = {(a, b): n for a, b, n in _together(maps, linked).collect()} if linked else {}
     field = {p: [p] for p in count}  # path to the paths of its field
-    for (a, b), files in sorted(links.items(), key=lambda x: (-x[1], x[0])):
+    for (a, b), _ in sorted(links.items(), key=lambda x: (-x[1], x[0])):
         one, other = field[a], field[b]
-        apart = all(100 * both.get(tuple(sorted((p, q))), 0) < min(count[p], count[q]) for p in one for q in other)
-        if files >= least_links and one is not other and apart:
+        free = len(set(one + other) & set(apart)) < 2 and all(100 * both.get(tuple(sorted((p, q))), 0) < min(count[p], count[q]) for p in one for q in other)
+        if one is not other and free:
             for p in other:
                 field[p] = one
             one += other

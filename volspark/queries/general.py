@@ -61,7 +61,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = schema_drift.drift_tables(load(spark, sf_dir, "conf_files"))
-    return schema_drift.project_fields(maps, schema_drift.resolved_columns(maps))
+    return schema_drift.project_fields(maps, schema_drift.resolved_columns(maps, apart=tuple(f"storage.{n}" for n in ("comment", "inner_comment", "outer_comment", "has_scan"))))
 
 
 def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
