@@ -134,6 +134,57 @@ def test_chain_equals_numpy(spark, flip):
     assert (array(P.run(table(spark, a), s, a.shape)) == numpy_chain(a, s)).all()
 
 
+def steps_in_numpy(a, s):
+    """The chain without normalization, one step after another on the whole array."""
+    k = "zyx".index(s.mip_axis)
+    a = np.lib.stride_tricks.sliding_window_view(a, s.mip, k).max(-1) if s.mip > 1 else a
+    if s.mask is not None:
+        y, x = np.indices(a.shape[1:])
+        h, w = a.shape[1:]
+        a = np.where((y - (h - 1) / 2) ** 2 + (x - (w - 1) / 2) ** 2 <= (s.mask * min(h, w) / 2) ** 2, a, a.min())
+    new = a.copy()
+    for z in range(1, len(a) - 1):
+        if s.denoise == "threshold":
+            gap = s.threshold * (a[z - 1 : z + 2].max() - a[z - 1 : z + 2].min())
+            off = (abs(a[z] - a[z - 1]) > gap) & (abs(a[z] - a[z + 1]) > gap)
+            new[z] = np.where(off, (a[z - 1] + a[z + 1]) / 2, a[z])
+        elif s.denoise == "flat":
+            new[z] = np.where((a[z - 1] < s.threshold) & (a[z + 1] < s.threshold), 0, a[z])
+    a = np.flip(new, "zyx".index(s.flip)) if s.flip else new
+    if s.dtype == "uint16":
+        a = np.stack([np.floor((p - p.min()) * max(65535 / ((p.max() - p.min()) or 1), 1)) % 65536 for p in a])
+    return a
+
+
+@pytest.mark.parametrize("block", [(2, 2, 4), (3, 8, 3)])
+def test_blocks_make_up_the_whole(spark, block):
+    a = np.random.default_rng(6).integers(0, 999, (7, 9, 8)).astype(float)
+    for s in (
+        P.PipelineSpec(mip=4, mask=0.9, denoise="threshold", threshold=0.3, flip="z", dtype="uint16"),
+        P.PipelineSpec(mip=3, mip_axis="y", denoise="flat", threshold=700, flip="y", dtype=None),
+        P.PipelineSpec(mip=2, mip_axis="x", mask=0.7, flip="z", dtype=None),
+    ):
+        assert np.array_equal(array(P.run(table(spark, a), s, a.shape, block=block)), steps_in_numpy(a, s))
+    s = P.PipelineSpec(normalize=(5, 95), trim_y=(1, 0), mip=2, mask=1.0, flip="x", dtype="uint8", bin_power=1)
+    assert (array(P.run(table(spark, a), s, a.shape, block=block)) == numpy_chain(a, s)).all()
+    assert P.run(table(spark, a), P.PipelineSpec(mip=9), a.shape).count() == 0
+
+
+def test_missing_voxels_are_left_out_with_what_needs_them(spark):
+    a = np.random.default_rng(7).random((5, 3, 3))
+    df = table(spark, a).where("not (z = 2 and y = 1 and x = 1)")
+    got = {(r.z, r.y, r.x): r.v for r in P.run(df, P.PipelineSpec(mip=2, dtype=None), a.shape, block=(2, 2, 2)).collect()}
+    best = np.maximum(a[1:], a[:-1])
+    assert got == {k: best[k] for k in np.ndindex(best.shape) if k not in ((1, 1, 1), (2, 1, 1))}
+
+
+def test_one_shuffle_of_voxels(spark):
+    """Blocks once cut are never shuffled again: behind the cut come joins with one row for each row of blocks."""
+    a = np.zeros((3, 4, 4))
+    plan = P.run(table(spark, a), P.PipelineSpec(mip=2, mask=1.0, dtype=None, bin_power=1), a.shape, fill=0.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
 def test_input_range_is_all_that_is_needed(spark):
     a = np.random.default_rng(3).integers(0, 99, (12, 4, 4)).astype(float)
     for s in (P.PipelineSpec(trim_z=(2, 1), mip=3, dtype=None), P.PipelineSpec(trim_z=(1, 0), mip=2, flip="z", denoise="flat", threshold=50, dtype=None)):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..operators import volume as V
+from . import blocks
 
 @dataclass(frozen=True)
 class PipelineSpec:
@@ -67,33 +68,16 @@ def output_names(names: list[str], spec: PipelineSpec) -> list[str]:
     return kept[spec.mip - 1 :] if spec.mip_axis == "z" else kept
 
 
-def run(df: DataFrame, spec: PipelineSpec, size: tuple[int, int, int], fill: float | None = None) -> DataFrame:
-    """The chain over a volume of the given size; (z, y, x, v). `fill`: for masked voxels, where it isn't to be found."""
+def run(df: DataFrame, spec: PipelineSpec, size: tuple[int, int, int], fill: float | None = None, block: tuple[int, int, int] = blocks.BLOCK) -> DataFrame:
+    """The chain over a volume of the given size, on blocks; (z, y, x, v). `fill`: for masked voxels, where it isn't to be found."""
     spec = spec.validate().simplified()
     rows = df.select("z", "y", "x", F.col("v").cast("double").alias("v"))
-    if spec.normalize or spec.bounds:
-        a, b = spec.bounds or N.exact_percentiles(rows, "v", list(spec.normalize))
-        rows = rows.withColumn("v", N.normalized(F.col("v"), F.lit(a), F.lit(b)))
+    if spec.normalize and not spec.bounds:
+        spec = replace(spec, bounds=tuple(N.exact_percentiles(rows, "v", list(spec.normalize))))
     crops = dict(zip(V.AXES, (spec.trim_z, spec.trim_y, spec.trim_x)))
     rows = V.trim(rows, size, **crops)
-    depth, height, width = ((lambda c: c[1] - c[0])(N.crop_bounds(crops[a], n)) for a, n in zip(V.AXES, size))
-    rows = V.sliding_max(rows, spec.mip_axis, spec.mip)
-    if spec.mip > 1:
-        depth, height, width = (n - (spec.mip - 1 if a == spec.mip_axis else 0) for a, n in zip(V.AXES, (depth, height, width)))
-    if spec.mask is not None:
-        if fill is None:
-            fill = 0.0 if spec.normalize or spec.bounds else rows.agg(F.min("v")).first()[0]
-        rows = V.circular_mask(rows, spec.mask, height, width, fill)
-    if spec.denoise == "threshold":
-        rows = V.denoise_threshold(rows, spec.threshold)
-    elif spec.denoise == "flat":
-        rows = V.denoise_flat(rows, spec.threshold)
-    if spec.flip:
-        rows = V.flip(rows, spec.flip, dict(zip(V.AXES, (depth, height, width)))[spec.flip])
-    if spec.dtype:
-        rows = V.stretch(rows, spec.dtype)
-    factor = 1 << spec.bin_power
-    return V.spatial_bin(rows, factor, height, width, spec.dtype in N.INTEGERS).select("z", "y", "x", "v")
+    kept = tuple((lambda c: c[1] - c[0])(N.crop_bounds(crops[a], n)) for a, n in zip(V.AXES, size))
+    return blocks.run_blocks(rows, spec, kept, fill, block)
 
 
 def run_range(df: DataFrame, spec: PipelineSpec, size: tuple[int, int, int], first: int, last: int) -> DataFrame:
