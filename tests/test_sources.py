@@ -1,8 +1,10 @@
+import json
 import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
 from volspark.operators import volume as V
 from volspark.sources import formats, sharded, tiff
@@ -147,6 +149,42 @@ def test_chunked_volume(spark, tmp_path):
     assert {(r.z - 30, r.y - 20, r.x - 10): r.v for r in back} == {k: float(v[k]) for k in np.ndindex(v.shape)}
 
 
+@pytest.mark.parametrize("shards", [False, True])
+@pytest.mark.parametrize("labels", [False, True])
+def test_all_scales_written_and_regions_read(spark, tmp_path, shards, labels):
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 4 if labels else 999, (5, 9, 7))
+    df = spark.createDataFrame([(z, y, x, float(v[z, y, x])) for z, y, x in np.ndindex(v.shape)], "z int, y int, x int, v double")
+    info = formats.with_scales(formats.info_document("segmentation" if labels else "image", "uint16", [7, 9, 5], [2, 3, 2], [4, 4, 4], [10, 20, 30]), 2)
+    info = formats.with_shards(info, 4, 2) if shards else info
+    path = str(tmp_path / "vol")
+    os.makedirs(path)
+    formats.write_pyramid(df, path, info, labels)
+    assert json.load(open(f"{path}/info")) == info and [s["size"] for s in info["scales"]] == [[7, 9, 5], [4, 5, 3], [2, 3, 2]]
+    level = v
+    for mip, s in enumerate(info["scales"]):
+        o = s["voxel_offset"]
+        back = spark.read.format("chunkedvolume").option("mip", mip).load(path)
+        got = {(r.z - o[2], r.y - o[1], r.x - o[0]): r.v for r in back.collect()}
+        assert got == {k: float(level[k]) for k in np.ndindex(level.shape)}
+        region = back.where(f"z >= {o[2] + 1} and x < {o[0] + 2} and y = {o[1] + 1}")
+        assert {(r.z - o[2], r.x - o[0]): r.v for r in region.collect()} == {(z, x): float(level[z, 1, x]) for z in range(1, level.shape[0]) for x in range(min(2, level.shape[2]))}
+        parts = np.empty([-(-n // 2) for n in level.shape])
+        for k in np.ndindex(parts.shape):
+            block = level[tuple(slice(2 * i, 2 * i + 2) for i in k)].ravel()
+            parts[k] = np.bincount(block.astype(int)).argmax() if labels else np.rint(block.mean())
+        level = parts
+
+
+def test_a_region_opens_its_chunks_alone(tmp_path):
+    info = formats.info_document("image", "uint8", [8, 8, 8], [2, 2, 2], [1, 1, 1])
+    (tmp_path / "info").write_text(json.dumps(info))
+    reader = formats.ChunkedReader({"path": str(tmp_path), "chunkspertask": "3"})
+    assert sum(p.count for p in reader.partitions()) == 64
+    assert list(reader.pushFilters([GreaterThanOrEqual(("z",), 3), LessThan(("z",), 5), EqualTo(("x",), 7), EqualTo(("v",), 1.0)])) == [EqualTo(("v",), 1.0)]
+    assert [(p.first, p.count) for p in reader.partitions()] == [(0, 3), (3, 3), (6, 2)]
+
+
 def test_shards(spark, tmp_path):
     grid = (5, 3, 2)
     bits = sharded.shard_bits(grid, 8, 2)

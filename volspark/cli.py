@@ -197,15 +197,18 @@ def series_digest(spark: SparkSession, a: argparse.Namespace) -> None:
     flats.drift_summary(table).show()
 
 
-@task("ng", "precompute", IN, OUT, ("--chunk-size", {"default": "512,512,1"}), ("--voxel-resolution", {"default": "700,700,700"}), ("--voxel-offset", {"default": "0,0,0"}), ("--layer-type", {"default": "image"}), RUN)
+@task("ng", "precompute", IN, OUT, ("--chunk-size", {"default": "512,512,1"}), ("--voxel-resolution", {"default": "700,700,700"}), ("--voxel-offset", {"default": "0,0,0"}), ("--layer-type", {"default": "image"}),
+      ("--levels", {"type": int, "default": 0, "help": "further scales, each of half the extent"}), ("--chunks-per-shard", {"type": int, "default": 0, "help": "0: one file for each chunk"}), RUN)
 def precompute(spark: SparkSession, a: argparse.Namespace) -> None:
     p = planes(spark, a.source)
     ints = lambda t: [int(x) for x in t.split(",")]
     size = list(reversed(size_of(p)))
     info = formats.info_document(a.layer_type, dtype_of(p), size, [min(c, n) for c, n in zip(ints(a.chunk_size), size)], ints(a.voxel_resolution), ints(a.voxel_offset))
+    info = formats.with_scales(info, a.levels)
+    info = formats.with_shards(info, a.chunks_per_shard) if a.chunks_per_shard else info
     print(info)
     if a.execute:
-        formats.write_chunked(V.voxels(p), a.target, info)
+        formats.write_pyramid(V.voxels(p), a.target, info, a.layer_type == "segmentation")
 
 
 @task("transform", "memmap-prep", IN, OUT, ("--out-dtypes", {"default": "uint8"}), ("--normalize", {"default": "none"}), ("--low", {"type": float}), ("--high", {"type": float}), RUN)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import numeric as N
+from ..session import written
 
 AXES = ("z", "y", "x")
 
@@ -151,7 +152,7 @@ def pyramid(df: DataFrame, levels: int, labels: bool = False) -> DataFrame:
     """(mip, z, y, x, v) of levels 1 to `levels`, each from the one before."""
     parts, level = [], df
     for k in range(1, levels + 1):
-        level = downsample(level, labels)
+        level = written(downsample(level, labels), f"level{k}")  # else each level would compute all below it again
         parts.append(level.select(F.lit(k).alias("mip"), *AXES, "v"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -262,8 +262,8 @@ def completeness_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     records = e.select(F.col("user_id").alias("dataset"), F.col("event_type").alias("stage"), F.when(F.col("value") > 100, "complete").otherwise("failed").alias("status"), (F.col("event_id") % 2).alias("configuration"), "ts")
-    stages = [r[0] for r in e.select("event_type").distinct().collect()]  # the stages are few by definition
-    wanted = e.select(F.col("user_id").alias("dataset")).distinct().withColumn("stage", F.explode(F.array(*[F.lit(s) for s in stages])))
+    stages = e.agg(F.collect_set("event_type").alias("stages"))  # one row
+    wanted = e.select(F.col("user_id").alias("dataset")).distinct().crossJoin(F.broadcast(stages)).select("dataset", F.explode("stages").alias("stage"))
     wanted = wanted.withColumns({"selected": F.col("stage") != "error", "configuration": F.col("dataset") % 2, "artifact_ok": F.lit(True)})
     return A.stage_decisions(wanted, records)
 

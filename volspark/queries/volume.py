@@ -11,6 +11,8 @@ from .. import views
 from ..functions import numeric as N
 from ..operators import volume as V
 from ..plans import spec
+from ..session import scratch
+from ..sources import formats
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -202,6 +204,23 @@ def pyramid_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.pyramid(views.voxels(spark, sf_dir, "user_id"), 1, labels=True)
 
 
+@query(
+    "with v as (select cast(event_id // 100 as int) as z, cast((event_id % 100) // 10 as int) as y, cast(event_id % 10 as int) as x, user_id as v from events), "
+    "n as (select cast(z // 2 as int) as z, cast(y // 2 as int) as y, cast(x // 2 as int) as x, v, count(*) as n from v group by all), a as (select z, y, x, v from n qualify row_number() over (partition by z, y, x order by n desc, v) = 1), "
+    "m as (select cast(z // 2 as int) as z, cast(y // 2 as int) as y, cast(x // 2 as int) as x, v, count(*) as n from a group by all), b as (select z, y, x, v from m qualify row_number() over (partition by z, y, x order by n desc, v) = 1) "
+    "select 0 as mip, z, y, x, v from v union all select 1, z, y, x, v from a union all select 2, z, y, x, v from b"
+)
+def volume_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label volume written as three scales in shard files and read back."""
+    formats.register(spark)
+    v = views.voxels(spark, sf_dir, "user_id")
+    info = formats.info_document("segmentation", "uint32", list(reversed(V.shape(v))), [8, 8, 8], [1, 1, 1])
+    path = scratch(spark, "volume").removeprefix("file:")
+    formats.write_pyramid(v, path, formats.with_shards(formats.with_scales(info, 2), 16, 4), labels=True)
+    read = lambda k: spark.read.format("chunkedvolume").option("mip", k).load(path).select(F.lit(k).alias("mip"), "z", "y", "x", F.col("v").cast("bigint").alias("v"))
+    return reduce(DataFrame.unionByName, [read(k) for k in range(3)])
+
+
 @query(
     f"with {_V} select 'xy' as plane, y as row, x as col, v from v where z = 4 union all select 'xz', z, x, v from v where y = 3 union all select 'yz', z, y, v from v where x = 2"
 )

@@ -15,11 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from ..functions.batches import starts, whole_groups
 from ..functions.numeric import ITEM_BYTES
-from . import tiff
+from . import sharded, tiff
 
 PLANE = "z int, name string, height int, width int, dtype string, pixels array<double>"
 
@@ -318,85 +320,155 @@ def info_document(kind: str, dtype: str, size: list[int], chunk: list[int], reso
     return {"type": kind, "data_type": dtype, "num_channels": 1, "scales": [scale]}
 
 
+def with_scales(info: dict, levels: int) -> dict:
+    """The description with further scales, each of half the extent (rounded up) and twice the resolution of the one before; their offsets are halved."""
+    scales = [info["scales"][0]]
+    for _ in range(levels):
+        last = scales[-1]
+        resolution = [2 * r for r in last["resolution"]]
+        scales.append(last | {"key": "_".join(f"{r:g}" for r in resolution), "resolution": resolution, "size": [-(-n // 2) for n in last["size"]], "voxel_offset": [o // 2 for o in last["voxel_offset"]]})
+    return info | {"scales": scales}
+
+
+def with_shards(info: dict, chunks_per_shard: int, minishard_chunks: int = 64) -> dict:
+    """The description with every scale in shard files of about so many chunks."""
+    scales = []
+    for s in info["scales"]:
+        pre, mini, shard = sharded.shard_bits(grid_of(s), chunks_per_shard, minishard_chunks)
+        spec = {"@type": "neuroglancer_uint64_sharded_v1", "hash": "identity", "preshift_bits": pre, "minishard_bits": mini, "shard_bits": shard, "minishard_index_encoding": "gzip", "data_encoding": "gzip"}
+        scales.append(s | {"sharding": spec})
+    return info | {"scales": scales}
+
+
+def grid_of(scale: dict) -> tuple[int, int, int]:
+    """How many chunks along x, y and z."""
+    return tuple(-(-n // c) for n, c in zip(scale["size"], scale["chunk_sizes"][0]))
+
+
+def bits_of(scale: dict) -> tuple[int, int, int]:
+    return tuple(scale["sharding"][f"{k}_bits"] for k in ("preshift", "minishard", "shard"))
+
+
+def shard_name(number: int, bits: tuple[int, int, int]) -> str:
+    return f"{number:0{max(1, -(-bits[2] // 4))}x}.shard"
+
+
 def chunk_name(low: list[int], high: list[int]) -> str:
     return "_".join(f"{a}-{b}" for a, b in zip(low, high))
 
 
+@dataclass
+class Chunks(InputPartition):
+    """Chunks first..first+count-1 of the box of chunks that is asked for, in x, y, z order."""
+
+    first: int
+    count: int
+
+
 class ChunkedReader(DataSourceReader):
+    """Filters on z, y and x choose the chunks, so that others aren't opened; the driver lists ranges of chunks, not chunks."""
+
     def __init__(self, options: dict[str, str]):
-        self.path, self.mip = options["path"].rstrip("/"), int(options.get("mip", 0))
+        self.path, self.per_task = options["path"].rstrip("/"), int(options.get("chunkspertask", 64))
         with open(f"{self.path}/info") as f:
             self.info = json.load(f)
-        self.range = Range()
+        self.scale = self.info["scales"][int(options.get("mip", 0))]
+        self.ranges = {a: Range(-(1 << 62)) for a in "xyz"}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        yield from filters
+        for f in filters:
+            if not any([r.take(f, a) for a, r in self.ranges.items()]):
+                yield f
+
+    def _box(self) -> tuple[list[int], list[int]]:
+        """The first chunk of the box along x, y and z, and how many."""
+        s = self.scale
+        low = [max(0, (max(r.low, o) - o) // c) for r, o, c in zip(self.ranges.values(), s["voxel_offset"], s["chunk_sizes"][0])]
+        high = [-(-max(0, min(r.high, o + n) - o) // c) for r, o, n, c in zip(self.ranges.values(), s["voxel_offset"], s["size"], s["chunk_sizes"][0])]
+        return low, [max(0, b - a) for a, b in zip(low, high)]
 
     def partitions(self) -> list[InputPartition]:
-        s = self.info["scales"][self.mip]
-        size, chunk, offset = s["size"], s["chunk_sizes"][0], s["voxel_offset"]
-        grid = np.ndindex(*(-(-n // c) for n, c in zip(reversed(size), reversed(chunk))))
-        boxes = []
-        for bz, by, bx in grid:
-            low = [b * c for b, c in zip((bx, by, bz), chunk)]
-            high = [min(a + c, n) for a, c, n in zip(low, chunk, size)]
-            boxes.append(([a + o for a, o in zip(low, offset)], [b + o for b, o in zip(high, offset)]))
-        per = 64
-        return [Planes(k, [(chunk_name(a, b), 0) for a, b in boxes[k : k + per]]) for k in range(0, len(boxes), per)]
-
-    def read(self, p: Planes) -> Iterator[pa.RecordBatch]:
-        s, dtype = self.info["scales"][self.mip], np.dtype(self.info["data_type"]).newbyteorder("<")
-        for name, _ in p.items:
-            low, high = zip(*[tuple(map(int, t.split("-"))) for t in name.split("_")])
-            dims = [b - a for a, b in zip(low, high)]
-            path = f"{self.path}/{s['key']}/{name}"
-            if not os.path.exists(path):
+        n = int(np.prod(self._box()[1]))
+        return [Chunks(k, min(self.per_task, n - k)) for k in range(0, n, self.per_task)]
+
+    def read(self, p: Chunks) -> Iterator[pa.RecordBatch]:
+        s, dtype = self.scale, np.dtype(self.info["data_type"]).newbyteorder("<")
+        first, count = self._box()
+        shards: dict[int, dict[int, bytes]] = {}
+        for k in range(p.first, p.first + p.count):
+            at = [f + int(i) for f, i in zip(first, np.unravel_index(k, count, order="F"))]
+            low = [i * c for i, c in zip(at, s["chunk_sizes"][0])]
+            high = [min(a + c, n) for a, c, n in zip(low, s["chunk_sizes"][0], s["size"])]
+            low, high = ([a + o for a, o in zip(x, s["voxel_offset"])] for x in (low, high))
+            body = self._sharded(at, shards) if "sharding" in s else self._file(f"{self.path}/{s['key']}/{chunk_name(low, high)}")
+            if body is None:
                 continue
-            with open(path, "rb") as f:
-                v = np.frombuffer(f.read(), dtype).reshape(dims, order="F")
-            x, y, z = np.meshgrid(*[np.arange(a, b, dtype=np.int32) for a, b in zip(low, high)], indexing="ij")
-            yield pa.RecordBatch.from_arrays([pa.array(z.ravel()), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(v.astype(float).ravel())], names=["z", "y", "x", "v"])
+            v = np.frombuffer(body, dtype).reshape([b - a for a, b in zip(low, high)], order="F")
+            keep = tuple(slice(max(r.low, a) - a, max(0, min(r.high, b) - a)) for r, a, b in zip(self.ranges.values(), low, high))
+            x, y, z = np.meshgrid(*[np.arange(a, b, dtype=np.int32)[cut] for a, b, cut in zip(low, high, keep)], indexing="ij")
+            yield pa.RecordBatch.from_arrays([pa.array(z.ravel()), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(v[keep].astype(float).ravel())], names=["z", "y", "x", "v"])
+
+    @staticmethod
+    def _file(path: str) -> bytes | None:
+        if not os.path.exists(path):
+            return None
+        with open(path, "rb") as f:
+            return f.read()
+
+    def _sharded(self, at: list[int], shards: dict[int, dict[int, bytes]]) -> bytes | None:
+        """A chunk's bytes; the last shard that was opened is kept."""
+        bits = bits_of(self.scale)
+        number = sharded.chunk_number(grid_of(self.scale), at)
+        shard = number >> bits[0] + bits[1]
+        if shard not in shards:
+            shards.clear()
+            body = self._file(f"{self.path}/{self.scale['key']}/{shard_name(shard, bits)}")
+            shards[shard] = sharded.unpack(body, bits) if body is not None else {}
+        return shards[shard].get(number)
 
 
 class ChunkedWriter(DataSourceWriter):
-    """Rows (bx, by, bz, z, y, x, v arrays) as raw chunk files in x, y, z order; a chunk that is written twice replaces itself."""
+    """Rows (bx, by, bz, data) as raw chunk files; a chunk that is written twice replaces itself. The commit writes the description."""
 
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path = options["path"].rstrip("/")
         self.info = json.loads(options["info"])
-        folder = f"{self.path}/{self.info['scales'][0]['key']}"
+        self.scale = self.info["scales"][int(options.get("mip", 0))]
+        folder = f"{self.path}/{self.scale['key']}"
         if os.path.exists(folder) and os.listdir(folder) and not overwrite:
             raise ValueError(f"{folder} is not empty")
         os.makedirs(folder, exist_ok=True)
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        s, dtype = self.info["scales"][0], np.dtype(self.info["data_type"]).newbyteorder("<")
+        s = self.scale
         names = []
         for r in rows:
             low = [r[f"b{a}"] * c for a, c in zip("xyz", s["chunk_sizes"][0])]
             high = [min(a + c, n) for a, c, n in zip(low, s["chunk_sizes"][0], s["size"])]
-            block = np.zeros([b - a for a, b in zip(low, high)], dtype)
-            cells = np.array([(c["x"], c["y"], c["z"]) for c in r["cells"]], int) - low
-            block[tuple(cells.T)] = np.array([c["v"] for c in r["cells"]]).astype(dtype)
             name = chunk_name(*[[a + o for a, o in zip(c, s["voxel_offset"])] for c in (low, high)])
             folder = f"{self.path}/{s['key']}"
             with open(part := f"{folder}/.{name}.{uuid.uuid4().hex}", "wb") as f:
-                f.write(block.tobytes(order="F"))
+                f.write(r["data"])
             os.replace(part, f"{folder}/{name}")
             names.append(name)
         return Staged(names)
 
     def commit(self, messages: list) -> None:
-        with open(part := f"{self.path}/.info.{uuid.uuid4().hex}", "w") as f:
-            json.dump(self.info, f)
-        os.replace(part, f"{self.path}/info")
+        write_info(self.path, self.info)
 
     def abort(self, messages: list) -> None:
         """Chunks are replaced by the next run; without `info` the volume isn't there."""
 
 
+def write_info(path: str, info: dict) -> None:
+    os.makedirs(path, exist_ok=True)
+    with open(part := f"{path}/.info.{uuid.uuid4().hex}", "w") as f:
+        json.dump(info, f)
+    os.replace(part, f"{path}/info")
+
+
 class Chunked(DataSource):
-    """A chunked volume: `path`, `mip` to read; `info` (JSON) to write."""
+    """A chunked volume, in chunk or shard files: `path`, `mip`; `chunksPerTask` to read; `info` (JSON) to write."""
 
     @classmethod
     def name(cls) -> str:
@@ -406,20 +478,59 @@ class Chunked(DataSource):
         return "z int, y int, x int, v double"
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return ChunkedReader(dict(self.options))
+        return ChunkedReader({k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:  # noqa: ANN001
         return ChunkedWriter(dict(self.options), overwrite)
 
 
-def write_chunked(voxels, path: str, info: dict) -> None:  # noqa: ANN001
-    """Voxels (z, y, x, v), counted from 0, as a chunked volume: one shuffle by chunk, one file for each."""
-    from pyspark.sql import functions as F
-
+def chunks_of(voxels: DataFrame, info: dict, mip: int = 0) -> DataFrame:
+    """(bx, by, bz, data): voxels (z, y, x, v), counted from 0, as the bytes of chunks in x, y, z order; one shuffle by chunk. Voxels that are missing are 0."""
     from ..operators.volume import chunk_of
 
-    blocks = chunk_of(voxels, tuple(info["scales"][0]["chunk_sizes"][0])).groupBy("bx", "by", "bz").agg(F.collect_list(F.struct("x", "y", "z", F.col("v").cast("double").alias("v"))).alias("cells"))
-    blocks.write.format("chunkedvolume").mode("overwrite").option("path", path).option("info", json.dumps(info)).save()
+    s, dtype = info["scales"][mip], np.dtype(info["data_type"]).newbyteorder("<")
+    chunk, size, keys = s["chunk_sizes"][0], s["size"], ["bx", "by", "bz"]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, keys):
+            at = {c: t.column(c).to_numpy() for c in (*keys, "x", "y", "z", "v")}
+            edges = [*np.flatnonzero(starts(t, keys)), t.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                number = [int(at[k][lo]) for k in keys]
+                low = [i * c for i, c in zip(number, chunk)]
+                block = np.zeros([min(c, n - a) for a, c, n in zip(low, chunk, size)], dtype)
+                block[tuple(at[c][lo:hi] - a for c, a in zip("xyz", low))] = at["v"][lo:hi].astype(dtype)
+                yield pa.RecordBatch.from_arrays([*[pa.array([i], pa.int32()) for i in number], pa.array([block.tobytes(order="F")], pa.binary())], names=[*keys, "data"])
+
+    rows = chunk_of(voxels.select("z", "y", "x", F.col("v").cast("double").alias("v")), tuple(chunk))
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(build, "bx int, by int, bz int, data binary")
+
+
+def write_chunked(voxels: DataFrame, path: str, info: dict, mip: int = 0) -> None:
+    """Voxels (z, y, x, v), counted from 0, as one scale of a chunked volume, in chunk files or, where the description says so, in shards."""
+    chunks, s = chunks_of(voxels, info, mip), info["scales"][mip]
+    if "sharding" in s:
+        sharded.write_shards(chunks, f"{path.rstrip('/')}/{s['key']}", grid_of(s), bits=bits_of(s))
+        write_info(path.rstrip("/"), info)
+    else:
+        chunks.write.format("chunkedvolume").mode("overwrite").option("path", path).option("info", json.dumps(info)).option("mip", mip).save()
+
+
+def write_pyramid(voxels: DataFrame, path: str, info: dict, labels: bool = False) -> None:
+    """All scales of a chunked volume: the first from voxels, each other from the one before as it was written, so no level is computed twice.
+
+    Blocks of 2 x 2 x 2 become their mean, rounded half to even for whole types, or the commonest label.
+    """
+    from ..operators.volume import downsample
+
+    spark = voxels.sparkSession
+    write_chunked(voxels, path, info)
+    for mip in range(1, len(info["scales"])):
+        offset = dict(zip("xyz", info["scales"][mip - 1]["voxel_offset"]))
+        above = spark.read.format("chunkedvolume").option("mip", mip - 1).load(path)
+        level = downsample(above.select(*[(F.col(a) - offset[a]).cast("int").alias(a) for a in "zyx"], "v"), labels)
+        whole = np.dtype(info["data_type"]).kind in "iu"
+        write_chunked(level.withColumn("v", F.rint("v") if whole else F.col("v")), path, info, mip)
 
 
 def bytes_of_scale(size: list[int], dtype: str, channels: int = 1) -> int:
@@ -427,6 +538,7 @@ def bytes_of_scale(size: list[int], dtype: str, channels: int = 1) -> int:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the formats known; filters reach them where the session allows it."""
+    """Make the formats known, and let filters reach them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (TiffStack, RawVolume, ByteSpans, FileTree, Chunked):
         spark.dataSource.register(source)

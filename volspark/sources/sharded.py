@@ -27,6 +27,11 @@ def chunk_id(grid: tuple[int, int, int], bx: Column, by: Column, bz: Column) ->
     return out
 
 
+def chunk_number(grid: tuple[int, int, int], at: list[int]) -> int:
+    """The same of one place."""
+    return sum((at[axis] >> bit & 1) << k for k, (axis, bit) in enumerate(morton_bits(grid)))
+
+
 def shard_bits(grid: tuple[int, int, int], chunks_per_shard: int, minishard_chunks: int = 64) -> tuple[int, int, int]:
     """(preshift, minishard, shard) bits: neighbours share a minishard, a shard holds about so many chunks."""
     all_bits = len(morton_bits(grid))
@@ -77,14 +82,14 @@ def unpack(shard: bytes, bits: tuple[int, int, int], zipped: bool = True) -> dic
     return out
 
 
-def write_shards(chunks, folder: str, grid: tuple[int, int, int], chunks_per_shard: int) -> None:  # noqa: ANN001
+def write_shards(chunks, folder: str, grid: tuple[int, int, int], chunks_per_shard: int = 512, bits: tuple[int, int, int] | None = None) -> None:  # noqa: ANN001
     """Chunks (bx, by, bz, data binary) as shard files: one shuffle by shard, each shard built by one task within its capacity."""
     import os
     import uuid
 
     import pandas as pd
 
-    bits = shard_bits(grid, chunks_per_shard)
+    bits = bits or shard_bits(grid, chunks_per_shard)
     digits = max(1, -(-bits[2] // 4))
     rows = chunks.withColumn("id", chunk_id(grid, F.col("bx"), F.col("by"), F.col("bz"))).withColumn("shard", shard_of(F.col("id"), bits))
 
