@@ -39,8 +39,7 @@ def test_no_machine_local_folder_on_a_cluster():
 
 
 def test_queries_without_the_text_subpackage(monkeypatch):
-    monkeypatch.setitem(sys.modules, "volspark.llm.queries", None)
-    monkeypatch.delattr("volspark.llm.queries", raising=False)
+    monkeypatch.setitem(sys.modules, "volspark.llm", None)
     try:
         assert "p1_found" in importlib.reload(entry).queries() and "p6_ids" not in entry.queries()
     finally:
